@@ -134,10 +134,10 @@ class AttentionModel:
         return self.forward(x, bags)["y"]
 
 
-def sample_ids(labels: DataFrame, column: str, usable, per_class: int) -> DataFrame:
-    """At most per_class ids of each label, by the least hash of the id: a bounded table."""
+def sample_ids(labels: DataFrame, column: str, usable, per_class: tuple[int, int]) -> DataFrame:
+    """At most as many ids of each label (0, 1) as per_class has, by the least hash of the id: a bounded table."""
     rows = labels.filter(usable & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
-    halves = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    halves = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k]) for k in (0, 1)]
     return halves[0].unionByName(halves[1])
 
 
@@ -151,7 +151,7 @@ def _bag_bytes(batches):
 
 def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1500) -> AttentionModel | None:
     """Fit on at most 2 * per_class documents; None without labelled documents of both classes."""
-    chosen = sample_ids(labels, "quality", usable, per_class)  # bounded, so it may be broadcast
+    chosen = sample_ids(labels, "quality", usable, (per_class, per_class))  # bounded, so it may be broadcast
     found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
     rows = found.mapInArrow(_bag_bytes, "label int, bag binary").orderBy("label", F.xxhash64("bag")).limit(4 * per_class).toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)

@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field with two tags over the words of a document.
 
 Labels are given for documents only, so the labelled tokens are derived from them first: in toxic documents of
-the training sample, words whose form or stem (prefix) is found almost only in toxic documents are tagged toxic;
+the training sample, words whose form or stem (prefix) goes with toxic documents beyond chance are tagged toxic;
 everything else is tagged clean. The CRF is trained on these tags by gradient ascent on the conditional
 likelihood; its emission weights belong to hashed word, prefix and suffix features, so inflected forms that
 training never met are found by their stem. Forward-backward gives each word's marginal; a logistic function of
@@ -17,8 +17,6 @@ classes every score is 0.5; repeated rows are scored each; an empty table gives
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -115,7 +113,7 @@ class ChainTagger:
     def emission(self, token: bytes) -> float:
         return float(self.weights[feature_ids(token)].sum() + self.bias)
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 40, rate: float = 0.3) -> ChainTagger:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 30, rate: float = 0.3) -> ChainTagger:
         words = Words(texts)
         kinds: dict[bytes, int] = {}
         kind = np.fromiter((kinds.setdefault(w, len(kinds)) for w in words.flat()), np.int64, words.total)
@@ -169,51 +167,52 @@ def document_features(p: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarr
     return np.log(top / (1 - top)), np.log1p(np.bincount(words.doc, sure, len(words.counts)))
 
 
-def silver_tags(words: Words, kinds: list[bytes], kind: np.ndarray, labels: np.ndarray, least: int = 6, purity: float = 0.96, strong: int = 16) -> np.ndarray:
-    """Tags of the words: toxic where the form or a stem of four characters or more explains toxic documents.
+def silver_tags(words: Words, kinds: list[bytes], kind: np.ndarray, labels: np.ndarray, evidence: float = 40, lift: float = 4) -> np.ndarray:
+    """Tags of the words: toxic where, in a toxic document, the form or a stem goes with toxicity.
 
-    Candidates are found in at least `least` training documents and, after weighing the classes alike, almost
-    only in toxic ones. Those that follow `strong` different words or more in toxic documents are taken at once
-    (in copies of one document a word always follows the same one); then others greedily, by the number of toxic
-    documents not explained so far, so words that merely accompany a toxic one are left out.
+    A form or stem does if the log-likelihood ratio of its documents by label is `evidence` or more and its share
+    among toxic documents is `lift` times that among clean ones or more; and the most specific of a word's form and
+    stems that enough documents have must show that share as well. A toxic document counts only as often as
+    the form follows different words, as in copies of one document it always follows the same one.
     """
-    bad, good = max(labels.sum(), 1), max((1 - labels).sum(), 1)
-    seen: list[Counter] = [Counter(), Counter()]
-    names = [[x for x in stem_features(w) if x[0] == "=" and len(x) > 1 or x[0] == "^" and len(x) >= 5] for w in kinds]
-    own = [{x for k in set(kind[words.starts[d] : words.starts[d + 1]].tolist()) for x in names[k]} for d in range(len(words.counts))]
-    for d, found in enumerate(own):
-        seen[int(labels[d])].update(found)
-    fit = {x for x, hits in seen[1].items() if hits >= least and hits / bad >= purity * (hits / bad + seen[0][x] / good)}
-    before: dict[str, set[int]] = {x: set() for x in fit}
-    for i in np.flatnonzero(labels[words.doc] == 1).tolist():
-        for x in names[kind[i]]:
-            if x in fit:
-                before[x].add(int(kind[i - 1]) if i > words.starts[words.doc[i]] else -1)
-    taken = {x for x, found in before.items() if len(found) >= strong}
-    explained = {d for d in np.flatnonzero(labels == 1).tolist() if not taken.isdisjoint(own[d])}
-    where: dict[str, set[int]] = {x: set() for x in fit - taken}
-    for d in np.flatnonzero(labels == 1).tolist():
-        if d not in explained:
-            for x in own[d] & where.keys():
-                where[x].add(d)
-    while where:
-        best = max(where, key=lambda x: (len(where[x]), -len(x), x))
-        hits = where.pop(best)
-        if len(hits) < least:
-            break
-        taken.add(best)
-        for x in list(where):
-            where[x] -= hits
-            if len(where[x]) < least:
-                del where[x]
-    marked = np.array([not taken.isdisjoint(x) for x in names], bool)
-    return (marked[kind] & (labels[words.doc] == 1)).astype(np.float64) if len(kinds) else np.zeros(0)
-
-
-def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1000) -> ChainTagger | None:
-    """Fit on at most per_class documents of each label."""
+    bad, good = float(labels.sum()), float((1 - labels).sum())
+    if not len(kinds) or not bad or not good:
+        return np.zeros(words.total)
+    names = [[x for x in stem_features(w) if x[0] == "=" and len(x) > 1 or x[0] == "^" and len(x) > 4] for w in kinds]
+    numbers: dict[str, int] = {}
+    of_kind = [[numbers.setdefault(x, len(numbers)) for x in own] for own in names]
+    sizes = np.array([len(x) for x in of_kind])
+    flat = np.fromiter((i for own in of_kind for i in own), np.int64, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    each = sizes[kind]
+    row = np.repeat(np.arange(words.total), each)
+    name = flat[np.repeat(begins[kind], each) + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)]
+    n = len(numbers)
+    doc = words.doc[row]
+    pair = np.unique(doc * n + name)
+    toxic = labels[pair // n] == 1
+    hits, misses = np.bincount(pair[toxic] % n, minlength=n).astype(float), np.bincount(pair[~toxic] % n, minlength=n).astype(float)
+    before = np.concatenate([[-1], kind[:-1]])
+    before[words.starts[:-1][words.counts > 0]] = -1
+    inside = labels[doc] == 1
+    places = np.unique(name[inside] * (len(kinds) + 1) + before[row[inside]] + 1)
+    hits = np.minimum(hits, np.bincount(places // (len(kinds) + 1), minlength=n))
+    share = (hits + misses) / (bad + good)
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+    ratio = 2 * (part(hits, bad * share) + part(misses, good * share) + part(bad - hits, bad * (1 - share)) + part(good - misses, good * (1 - share)))
+    lifted = hits / bad >= lift * misses / good
+    marked, frequent = lifted & (ratio >= evidence), hits + misses >= 8
+    toxic_kind = np.zeros(len(kinds), bool)
+    for k, own in enumerate(of_kind):  # features: the form, then stems from short to long
+        if any(marked[i] for i in own):
+            toxic_kind[k] = next((bool(lifted[i]) for i in (own[0], *own[:0:-1]) if frequent[i]), True)
+    return (toxic_kind[kind] & (labels[words.doc] == 1)).astype(np.float64)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable, per_class: tuple[int, int] = (2000, 1000)) -> ChainTagger | None:
+    """Fit on at most as many documents of each label (0, 1) as per_class has."""
     chosen = sample_ids(labels, "toxic", usable, per_class)  # bounded, so it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text").orderBy("label", F.xxhash64("text")).limit(4 * per_class).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text").orderBy("label", F.xxhash64("text")).limit(4 * sum(per_class)).toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         return None
