@@ -209,7 +209,7 @@ def silver_tags(words: Words, kinds: list[bytes], kind: np.ndarray, labels: np.n
     return (toxic_kind[kind] & (labels[words.doc] == 1)).astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, per_class: tuple[int, int] = (2000, 1000)) -> ChainTagger | None:
+def train(docs: DataFrame, labels: DataFrame, usable, per_class: tuple[int, int] = (1500, 750)) -> ChainTagger | None:
     """Fit on at most as many documents of each label (0, 1) as per_class has."""
     chosen = sample_ids(labels, "toxic", usable, per_class)  # bounded, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text").orderBy("label", F.xxhash64("text")).limit(4 * sum(per_class)).toArrow()
