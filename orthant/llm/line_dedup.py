@@ -57,7 +57,7 @@ def template_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.flatnonzero(np.concatenate([[True], np.diff(line) > 0]))
     n = np.diff(np.concatenate([first, [len(token)]]))
     order = np.arange(len(token)) - np.repeat(first, n)
-    upto = np.concatenate([[0], np.cumsum(token * POWERS[order & 1023], dtype=np.uint64)]).astype(np.uint64)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token * POWERS[order & 1023], dtype=np.uint64)])
 
     use = np.flatnonzero(n >= MIN_TOKENS)
     first, n = first[use], n[use]
