@@ -35,8 +35,9 @@ def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     events = sorted((tuple(r) for b in batches for r in b[["ts_ms", "kind", "x", "y", "z"]].itertuples(index=False)), key=lambda e: (e[0], e[1]))
     now = tuple(state.get) if state.exists else (0, 0, 0, 0, 0, 0, 0, False)
     for ts, kind, x, y, z in events:
-        now = advance(now, int(ts))
-        if kind == "insert":
+        if kind == "tick":
+            now = advance(now, int(ts))
+        elif kind == "insert":
             now = (int(x), int(y), int(z), 0, 0, 0, int(ts), False)
         elif kind in ("register", "unregister"):
             now = (*now[:6], int(ts), kind == "register")
@@ -49,7 +50,8 @@ def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 
 def track(events: DataFrame) -> DataFrame:
     """Positions after each micro-batch. events: guid, ts_ms, kind, x, y, z; kind is insert, register, unregister,
-    set_velocity, accelerate or tick."""
+    set_velocity, accelerate or tick. Only a tick moves an object, by its velocity then times the ms since it last moved or
+    was registered."""
     return events.groupBy("guid").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
