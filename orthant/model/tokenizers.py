@@ -10,6 +10,13 @@ _pieces = regex.compile(r"[\p{P}\p{S}]|[^\s\p{P}\p{S}]+")
 _byte_pieces = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 ones themselves, others from 256 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    rest = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class WordPieces:
     """Longest match from the left. Continuations carry `##`, or word starts carry U+2581 if the vocabulary has it."""
 
@@ -41,23 +48,31 @@ class WordPieces:
 
 
 class BytePairs:
-    """Byte-level BPE: ranks maps each token's bytes to its id, smaller ids merging first."""
+    """Byte-level BPE: ranks maps each token's bytes to its id.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    Pairs merge by their place in order if that is given, else the one of the least id first. Parts that the
+    vocabulary lacks get the unknown id, if there is one.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], order: dict[tuple[bytes, bytes], int] | None = None, unknown: int | None = None):
         self.ranks, self.names = ranks, {i: t for t, i in ranks.items()}
+        self.order, self.unknown = order, unknown
         self._piece = lru_cache(maxsize=100_000)(self._merge)
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, at = min(((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
+            rank, at = min((self._rank(a, b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if rank == 1 << 62:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.ranks[p] for p in parts)
+        return tuple(self.ranks[p] if self.unknown is None else self.ranks.get(p, self.unknown) for p in parts)
+
+    def _rank(self, a: bytes, b: bytes) -> int:
+        return self.ranks.get(a + b, 1 << 62) if self.order is None else self.order.get((a, b), 1 << 62)
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in _byte_pieces.findall(text) for i in self._piece(piece.encode())]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.names[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(self.names.get(i, b"") for i in ids).decode("utf-8", "replace")
