@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of documents and benchmark items are stripped of punctuation and lower-cased; numbers, names (capitalised
-words inside a sentence) and units of measure become typed placeholders, whose values are kept as slots. Windows of
-`WINDOW` canonical words are hashed; a fixed-size bitmap of the benchmark's window hashes (its size doesn't depend
+words inside a sentence) and units of measure become typed placeholders, whose values are kept as slots. A capitalised
+word that opens a sentence may be a name or a plain word, so windows are made with both readings of each such word, of
+items and documents alike. Windows of `WINDOW` canonical words are hashed; a fixed-size bitmap of the benchmark's window hashes (its size doesn't depend
 on any table) drops nearly all document windows where they arise, and the others meet the benchmark's windows in a
 hash join. Matches on one diagonal (document position minus item position) belong together: a document is flagged
 if a diagonal covers `RUN` windows or all of the item, and if its slots are consistent, that is each value in the
-item has one value in the document throughout. So exact copies and re-parameterised questions are caught.
+item has one value in the document throughout. So exact copies and re-parameterised questions are caught. The plain
+reading of opening words is also judged by itself, so that the other one never hides what it finds.
 
 An item of fewer than WINDOW words is searched as one window of its length (two words at least).
 
@@ -30,6 +32,8 @@ SOLID = 4
 BITS = 24
 # Units that become a placeholder.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec secs min mins h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons dollar dollars cent cents euro euros percent degree degrees watt watts volt volts mph kmh kph".split()
+#: Kinds of windows.
+PLAIN, NAMED = 0, 1
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 _fold = np.zeros(256, np.uint64)
@@ -65,35 +69,56 @@ class Canonical:
             opens = np.ones(len(token), bool)
             opens[1:] = (words.doc[1:] != words.doc[:-1]) | _stop[data[words.ends[:-1] - 1]] | (data[words.ends[:-1]] == 10)
             numbers, names = words.any(_digit[data]), large & ~opens
+            opening = large & opens & ~numbers
             known = _unit_hashes()
             units = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
             token = np.where(numbers, NUMBER, np.where(names, NAME, np.where(units, UNIT, token)))
             slot = numbers | names | units
         else:
-            slot = np.zeros(0, bool)
+            slot = opening = np.zeros(0, bool)
         self.at = np.flatnonzero(solid)
         self.doc, self.token, self.slot = words.doc[self.at], token[self.at], slot[self.at]
+        self.opening = opening[self.at]
         begins = np.searchsorted(self.doc, np.arange(len(texts)))
         self.place = np.arange(len(self.doc)) - begins[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of the windows inside texts with enough words that are no slots."""
+    def windows(self, width: int):
+        """(kind, index of the first word, hash, names) of the windows inside texts with enough words that are no slots.
+
+        Kind PLAIN reads no opening word as a name; NAMED reads those as names whose places are set in the bits of names.
+        """
         n = len(self.token) - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return
         total = np.full(n, mix(np.array([width], np.uint64))[0])
         for k in range(width):
             total += self.token[k : n + k] * POWERS[k]
         firm = np.concatenate([[0], np.cumsum(~self.slot)])
-        fit = np.flatnonzero((self.doc[:n] == self.doc[width - 1 :]) & (firm[width:] - firm[:n] >= min(SOLID, width - 1)))
-        return fit, mix(total[fit])
-
-    def slots(self, start: int, width: int) -> list[str]:
+        firm, need = firm[width:] - firm[:n], min(SOLID, width - 1)
+        fit = np.flatnonzero((self.doc[:n] == self.doc[width - 1 :]) & (firm >= need))
+        yield PLAIN, fit, mix(total[fit]), np.zeros(len(fit), np.int64)
+        before = np.concatenate([[0], np.cumsum(self.opening)])
+        many, where = before[width:] - before[:n], np.flatnonzero(self.opening)
+        for chosen in range(1, 1 << int(many[fit].max(initial=0))):
+            if chosen.bit_count() > width - need:
+                continue
+            at = fit[many[fit] >= chosen.bit_length()]
+            sums, left, names = total[at], firm[at], np.zeros(len(at), np.int64)
+            for k in range(chosen.bit_length()):
+                if chosen >> k & 1:
+                    word = where[before[at] + k]
+                    sums += (NAME - self.token[word]) * POWERS[word - at]
+                    left = left - ~self.slot[word]
+                    names |= 1 << (word - at)
+            keep = left >= need
+            yield NAMED, at[keep], mix(sums[keep]), names[keep]
+
+    def slots(self, start: int, width: int, names: int) -> list[str]:
         """Lower-cased values of the slots in a window, in order."""
         data, out = self.words.data, []
         for i in range(start, start + width):
-            if self.slot[i]:
+            if self.slot[i] or names >> (i - start) & 1:
                 w = self.at[i]
                 raw = data[self.words.starts[w] : self.words.ends[w]].tobytes()
                 out.append(raw.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}"))
@@ -108,8 +133,8 @@ def _unit_hashes() -> np.ndarray:
 
 
 _units: list[np.ndarray] = []
-_item_schema = "item_id long, n_windows int, width int, item_pos int, h long, item_slots array<string>"
-_hit_schema = "doc_id long, pos int, h long, slots array<string>"
+_item_schema = "item_id long, n_windows int, width int, item_kind int, item_pos int, h long, item_slots array<string>"
+_hit_schema = "doc_id long, kind int, pos int, h long, slots array<string>"
 
 
 def _item_windows(batches):
@@ -118,15 +143,16 @@ def _item_windows(batches):
         ids = part.column("item_id").to_pylist()
         rows = []
         for width in range(2, WINDOW + 1):
-            at, h = canon.windows(width)
-            owner = canon.doc[at]
-            mine = canon.counts[owner] >= WINDOW if width == WINDOW else canon.counts[owner] == width
-            at, h, owner = at[mine], h[mine].view(np.int64), owner[mine]
-            many = np.bincount(owner, minlength=len(ids))
-            rows += [(ids[o], int(many[o]), width, int(canon.place[i]), int(x), canon.slots(int(i), width)) for i, x, o in zip(at, h, owner)]
+            for kind, at, h, names in canon.windows(width):
+                owner = canon.doc[at]
+                mine = canon.counts[owner] >= WINDOW if width == WINDOW else canon.counts[owner] == width
+                at, h, names, owner = at[mine], h[mine].view(np.int64), names[mine], owner[mine]
+                if kind == PLAIN:
+                    many = np.bincount(owner, minlength=len(ids))
+                rows += [(ids[o], int(many[o]), width, kind, int(canon.place[i]), int(x), canon.slots(int(i), width, int(b))) for i, x, b, o in zip(at, h, names, owner)]
         if rows:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["item_id", "n_windows", "width", "item_pos", "h", "item_slots"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["item_id", "n_windows", "width", "item_kind", "item_pos", "h", "item_slots"])
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -150,22 +176,26 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             canon = Canonical(utf8_list(part.column("text")))
             rows = []
             for width in widths:
-                at, h = canon.windows(width)
-                top = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                seen = np.flatnonzero((bits[top >> 5] >> (top & 31).astype(np.uint32)) & 1)
-                rows += [(int(canon.doc[i]), int(canon.place[i]), int(x), canon.slots(int(i), width)) for i, x in zip(at[seen], h[seen].view(np.int64))]
+                for kind, at, h, names in canon.windows(width):
+                    top = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                    seen = np.flatnonzero((bits[top >> 5] >> (top & 31).astype(np.uint32)) & 1)
+                    rows += [(int(canon.doc[i]), kind, int(canon.place[i]), int(x), canon.slots(int(i), width, int(b))) for i, x, b in zip(at[seen], h[seen].view(np.int64), names[seen])]
             if rows:
-                doc, pos, h, slots = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "pos", "h", "slots"])
+                doc, kind, pos, h, slots = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(kind, pa.int32()), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "kind", "pos", "h", "slots"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hits, _hit_schema).join(windows, "h")
     pairs = F.expr("transform(arrays_zip(item_slots, slots), p -> struct(p.item_slots AS item, p.slots AS doc))")
+    plain = F.greatest("kind", "item_kind") == PLAIN
+    places = lambda which: F.size(F.collect_set(F.when(which, F.col("item_pos"))))
+    values = lambda which: F.array_distinct(F.flatten(F.collect_set(F.when(which, pairs))))
     diagonals = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count_distinct("item_pos").alias("n_windows_hit"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        places(F.lit(True)).alias("n_windows_hit"), places(plain).alias("n_plain"), F.max("n_windows").alias("n_windows"), values(F.lit(True)).alias("pairs"), values(plain).alias("plain_pairs")
     )
-    consistent = F.expr("size(pairs) = size(array_distinct(transform(pairs, p -> p.item)))")
-    enough = F.col("n_windows_hit") >= F.least(F.col("n_windows"), F.lit(RUN))
-    return diagonals.filter(enough & consistent).drop("pairs")
+    consistent = lambda c: F.expr(f"size({c}) = size(array_distinct(transform({c}, p -> p.item)))")
+    enough = lambda n: F.col(n) >= F.least(F.col("n_windows"), F.lit(RUN))
+    shown = (enough("n_windows_hit") & consistent("pairs")) | (enough("n_plain") & consistent("plain_pairs"))
+    return diagonals.filter(shown).select("doc_id", "item_id", "shift", "n_windows_hit", "n_windows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

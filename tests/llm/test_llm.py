@@ -320,6 +320,21 @@ def test_decontamination(spark, odd):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0 and decontamination.contaminated(empty(spark), items).count() == 0
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    apples = "Alice has 5 red apples in a bag. Bob gives her 3 more of them. Carol takes 2 apples from the bag. How many apples are left?"
+    norway = "What is the capital city of the kingdom of Norway called today?"
+    short = "Alice walks to the old market. Bob sleeps in the big house. Carol sings for the three cats."
+    items = spark.createDataFrame([(1, apples), (2, norway), (3, short)], "item_id long, text string")
+    renamed = apples.replace("Alice", "Zoe").replace("Bob", "Yan").replace("Carol", "Xia")
+    rows = [
+        (1, renamed.replace("has 5", "has 9")), (2, f"Teachers often ask: {renamed}"), (3, f"They asked What is{norway[7:]} Nobody knew."), (4, f"so {norway[0].lower()}{norway[1:]}"),
+        (5, short.replace("Alice", "Zoe").replace("Bob", "Yan").replace("Carol", "Xia")), (6, "Zoe has a red bag in which apples are. Yan takes her bag. How many apples are in the old house?"),
+        (7, f"we know that {renamed}"), (8, apples), (9, "The three cats sing. The old market is in the big house. The kingdom has a city."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()) == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (7, 1), (8, 1)]
+
+
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 def test_decontamination_finds_the_planted_passages(spark):
     docs, _, d = labelled(spark)
