@@ -10,9 +10,13 @@ if a diagonal covers `RUN` windows or all of the item, and if its slots are cons
 item has one value in the document throughout. So exact copies and re-parameterised questions are caught. The plain
 reading of opening words is also judged by itself, so that the other one never hides what it finds.
 
-An item of fewer than WINDOW words is searched as one window of its length (two words at least).
+Windows need `SOLID` words that are no placeholders. So that windows of numbers, names or units alone aren't lost,
+every window is also searched for as it stands: words without placeholders, and numbers of the same value. These exact
+windows count with the others, and by themselves; a diagonal of them covers an item if it has all of its windows.
 
-Defined cases: null and empty texts match nothing; repeated rows of documents count once; null ids are reported
+An item of fewer than WINDOW words is searched as one window of its length, one of a single word thus by that word.
+
+Defined cases: null and empty texts and those without a letter or digit match nothing; repeated rows of documents count once; null ids are reported
 as null; an empty table gives an empty result; further columns are ignored (in the stage they pass through).
 """
 
@@ -33,7 +37,7 @@ BITS = 24
 # Units that become a placeholder.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec secs min mins h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons dollar dollars cent cents euro euros percent degree degrees watt watts volt volts mph kmh kph".split()
 #: Kinds of windows.
-PLAIN, NAMED = 0, 1
+PLAIN, NAMED, EXACT = 0, 1, 2
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 _fold = np.zeros(256, np.uint64)
@@ -60,7 +64,7 @@ class Canonical:
             capital = np.zeros(len(data), bool)  # of Latin letters in two bytes
             capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
             values = values + np.uint64(32) * capital
-        token = words.hashes(values)
+        token = plain = words.hashes(values)
         solid = words.any(values != 0)
         if len(token):
             first = data[words.starts]
@@ -75,18 +79,19 @@ class Canonical:
             token = np.where(numbers, NUMBER, np.where(names, NAME, np.where(units, UNIT, token)))
             slot = numbers | names | units
         else:
-            slot = opening = np.zeros(0, bool)
+            slot = opening = numbers = np.zeros(0, bool)
         self.at = np.flatnonzero(solid)
         self.doc, self.token, self.slot = words.doc[self.at], token[self.at], slot[self.at]
-        self.opening = opening[self.at]
+        self.opening, self.plain, self.number = opening[self.at], plain[self.at], numbers[self.at]
         begins = np.searchsorted(self.doc, np.arange(len(texts)))
         self.place = np.arange(len(self.doc)) - begins[self.doc] if len(self.doc) else np.zeros(0, np.int64)
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
     def windows(self, width: int):
-        """(kind, index of the first word, hash, names) of the windows inside texts with enough words that are no slots.
+        """(kind, index of the first word, hash, names) of the windows inside texts.
 
-        Kind PLAIN reads no opening word as a name; NAMED reads those as names whose places are set in the bits of names.
+        Kind PLAIN reads no opening word as a name; NAMED reads those as names whose places are set in the bits of names;
+        both need enough words that are no slots. EXACT windows have no placeholders.
         """
         n = len(self.token) - width + 1
         if n <= 0:
@@ -95,8 +100,9 @@ class Canonical:
         for k in range(width):
             total += self.token[k : n + k] * POWERS[k]
         firm = np.concatenate([[0], np.cumsum(~self.slot)])
-        firm, need = firm[width:] - firm[:n], min(SOLID, width - 1)
-        fit = np.flatnonzero((self.doc[:n] == self.doc[width - 1 :]) & (firm >= need))
+        firm, need = firm[width:] - firm[:n], max(1, min(SOLID, width - 1))
+        inside = self.doc[:n] == self.doc[width - 1 :]
+        fit = np.flatnonzero(inside & (firm >= need))
         yield PLAIN, fit, mix(total[fit]), np.zeros(len(fit), np.int64)
         before = np.concatenate([[0], np.cumsum(self.opening)])
         many, where = before[width:] - before[:n], np.flatnonzero(self.opening)
@@ -113,12 +119,18 @@ class Canonical:
                     names |= 1 << (word - at)
             keep = left >= need
             yield NAMED, at[keep], mix(sums[keep]), names[keep]
+        total = np.full(n, mix(np.array([width + (EXACT << 8)], np.uint64))[0])
+        for k in range(width):
+            total += self.plain[k : n + k] * POWERS[k]
+        at = np.flatnonzero(inside)
+        yield EXACT, at, mix(total[at]), np.zeros(len(at), np.int64)
 
-    def slots(self, start: int, width: int, names: int) -> list[str]:
-        """Lower-cased values of the slots in a window, in order."""
+    def slots(self, kind: int, start: int, width: int, names: int) -> list[str]:
+        """Lower-cased values of the slots in a window (of an exact one, its numbers), in order."""
         data, out = self.words.data, []
+        slot = self.number if kind == EXACT else self.slot
         for i in range(start, start + width):
-            if self.slot[i] or names >> (i - start) & 1:
+            if slot[i] or names >> (i - start) & 1:
                 w = self.at[i]
                 raw = data[self.words.starts[w] : self.words.ends[w]].tobytes()
                 out.append(raw.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}"))
@@ -133,7 +145,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 _units: list[np.ndarray] = []
-_item_schema = "item_id long, n_windows int, width int, item_kind int, item_pos int, h long, item_slots array<string>"
+_item_schema = "item_id long, n_windows int, n_typed int, width int, item_kind int, item_pos int, h long, item_slots array<string>"
 _hit_schema = "doc_id long, kind int, pos int, h long, slots array<string>"
 
 
@@ -142,17 +154,17 @@ def _item_windows(batches):
         canon = Canonical(utf8_list(part.column("text")))
         ids = part.column("item_id").to_pylist()
         rows = []
-        for width in range(2, WINDOW + 1):
+        for width in range(1, WINDOW + 1):
             for kind, at, h, names in canon.windows(width):
                 owner = canon.doc[at]
                 mine = canon.counts[owner] >= WINDOW if width == WINDOW else canon.counts[owner] == width
                 at, h, names, owner = at[mine], h[mine].view(np.int64), names[mine], owner[mine]
                 if kind == PLAIN:
                     many = np.bincount(owner, minlength=len(ids))
-                rows += [(ids[o], int(many[o]), width, kind, int(canon.place[i]), int(x), canon.slots(int(i), width, int(b))) for i, x, b, o in zip(at, h, names, owner)]
+                rows += [(ids[o], int(canon.counts[o]) - width + 1, int(many[o]), width, kind, int(canon.place[i]), int(x), canon.slots(kind, int(i), width, int(b))) for i, x, b, o in zip(at, h, names, owner)]
         if rows:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["item_id", "n_windows", "width", "item_kind", "item_pos", "h", "item_slots"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["item_id", "n_windows", "n_typed", "width", "item_kind", "item_pos", "h", "item_slots"])
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -167,7 +179,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows_hit, n_windows, shift: diagonals that show a contamination."""
     windows = materialize(items.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, _item_schema), "items")
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # WINDOW - 1 values at most
+    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # WINDOW values at most
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))  # 2 MB whatever the tables
 
     def hits(batches):
@@ -179,22 +191,23 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for kind, at, h, names in canon.windows(width):
                     top = (h >> np.uint64(64 - BITS)).astype(np.int64)
                     seen = np.flatnonzero((bits[top >> 5] >> (top & 31).astype(np.uint32)) & 1)
-                    rows += [(int(canon.doc[i]), kind, int(canon.place[i]), int(x), canon.slots(int(i), width, int(b))) for i, x, b in zip(at[seen], h[seen].view(np.int64), names[seen])]
+                    rows += [(int(canon.doc[i]), kind, int(canon.place[i]), int(x), canon.slots(kind, int(i), width, int(b))) for i, x, b in zip(at[seen], h[seen].view(np.int64), names[seen])]
             if rows:
                 doc, kind, pos, h, slots = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(kind, pa.int32()), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "kind", "pos", "h", "slots"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hits, _hit_schema).join(windows, "h")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hits, _hit_schema).join(windows, "h").filter((F.col("kind") != EXACT) | (F.col("slots") == F.col("item_slots")))
     pairs = F.expr("transform(arrays_zip(item_slots, slots), p -> struct(p.item_slots AS item, p.slots AS doc))")
-    plain = F.greatest("kind", "item_kind") == PLAIN
-    places = lambda which: F.size(F.collect_set(F.when(which, F.col("item_pos"))))
-    values = lambda which: F.array_distinct(F.flatten(F.collect_set(F.when(which, pairs))))
+    kind = F.greatest("kind", "item_kind")
+    sets = {"plain": kind == PLAIN, "typed": kind != EXACT, "exact": kind == EXACT}
+    places = [F.size(F.collect_set(F.when(which, F.col("item_pos")))).alias(f"n_{name}_hit") for name, which in sets.items()]
+    values = [F.array_distinct(F.flatten(F.collect_set(F.when(sets[name], pairs)))).alias(f"{name}_pairs") for name in ("plain", "typed")]
     diagonals = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        places(F.lit(True)).alias("n_windows_hit"), places(plain).alias("n_plain"), F.max("n_windows").alias("n_windows"), values(F.lit(True)).alias("pairs"), values(plain).alias("plain_pairs")
+        F.size(F.collect_set("item_pos")).alias("n_windows_hit"), F.max("n_windows").alias("n_windows"), F.max("n_typed").alias("n_typed"), *places, *values
     )
-    consistent = lambda c: F.expr(f"size({c}) = size(array_distinct(transform({c}, p -> p.item)))")
-    enough = lambda n: F.col(n) >= F.least(F.col("n_windows"), F.lit(RUN))
-    shown = (enough("n_windows_hit") & consistent("pairs")) | (enough("n_plain") & consistent("plain_pairs"))
+    plain, typed = (F.expr(f"size({c}) = size(array_distinct(transform({c}, p -> p.item)))") for c in ("plain_pairs", "typed_pairs"))  # consistent
+    enough = lambda n, of: (F.col(n) > 0) & (F.col(n) >= F.least(F.col(of), F.lit(RUN)))
+    shown = (enough("n_plain_hit", "n_typed") & plain) | ((enough("n_typed_hit", "n_typed") | enough("n_windows_hit", "n_windows")) & typed) | enough("n_exact_hit", "n_windows")
     return diagonals.filter(shown).select("doc_id", "item_id", "shift", "n_windows_hit", "n_windows")
 
 

@@ -335,6 +335,19 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()) == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (7, 1), (8, 1)]
 
 
+def test_decontamination_of_items_of_placeholders(spark):
+    table = "12 15 18 21 24 27 30 33 36 39 42 45 48 51 54 57 60 63"
+    texts = ["What is 17 + 25?", "17 25 42 3.5 99", "ask Alice Bob Carol Dave Eve Frank Grace Heidi Ivan", table, "Antidisestablishmentarianism!", "3 km 5 kg", "+ -"]
+    items = spark.createDataFrame(list(enumerate(texts, 1)), "item_id long, text string")
+    rows = [
+        (1, "The first task: what is 17 + 25? Tell us."), (2, "What is 18 + 25?"), (3, "numbers 17, 25, 42, 3.5, 99 in a row"), (4, "17 25 42 35 99"), (5, "17 25 42 99 3.5"),
+        (6, "They ask Alice Bob Carol Dave Eve Frank Grace Heidi Ivan daily"), (7, "ask Zoe Yan Xia Will Vic Una Tom Sue Rob"), (8, f"a {table} b"), (9, table.replace("39", "40")),
+        (10, "it was antidisestablishmentarianism, no more"), (11, "walk 3 km with 5 kg"), (12, "it is 3 km 5 kg then"), (13, "+ - +"), (14, "ask alice bob carol dave eve frank grace heidi ivan"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()) == [(1, 1), (3, 2), (6, 3), (8, 4), (10, 5), (12, 6), (14, 3)]
+
+
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 def test_decontamination_finds_the_planted_passages(spark):
     docs, _, d = labelled(spark)
