@@ -5,8 +5,10 @@ variable fields, all alike. The tree has fixed depth: token count, then the lead
 templates. Besides the masked line itself (the exact template of its leaf), a line of `LONG` tokens or more stands
 for generalised templates in which one third of the tokens behind the leading ones is a run of variable fields:
 lines of a leaf that differ only there share the template, whatever the fields hold. A template recurs if it is
-found in `min_docs` documents (generalised: `min_general`); its lines are dropped from all documents but the one
-of the least id, which keeps them, so a text is never lost altogether. Lines of fewer than `MIN_TOKENS` tokens stay.
+found in `min_docs` documents (generalised: `min_general`; a line of fewer than `MIN_TOKENS` tokens, which prose may
+repeat by chance: `min_short`); its lines are dropped from all documents but the one of the least id, which keeps them,
+so a text is never lost altogether. A short line of variable fields only counts with its values, as nothing else tells
+it from others.
 
 Each document sends every template key once, so counting keys counts documents and pre-aggregates map-side.
 Decisions travel as line numbers; the text is joined to them once, by id and text hash.
@@ -32,6 +34,7 @@ MIN_TOKENS = 4
 LONG = 9
 LEAD = 2
 THIRDS = 3
+EXACT, GENERAL, SHORT = 0, 1, 2
 _mark = functools.partial(xxhash.xxh64_intdigest, seed=42)  # what xxhash64() of Spark SQL gives for a text
 _values = np.arange(1, 257, dtype=np.uint64)
 _values[[9, 10, 11, 12, 13, 32]] = 0
@@ -42,7 +45,7 @@ _KINDS = np.array([0, 0x632BE59BD9B4E019, 0x2545F4914F6CDD1D, 0x27D4EB2F165667C5
 
 
 def template_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line, key) of all templates, by text and line; exact keys are even, generalised ones odd."""
+    """(text, line, key) of all templates, by text and line; the last two bits of a key are `EXACT`, `SHORT` or `GENERAL`."""
     words = ByteWords(texts)
     none = np.zeros(0, np.int64)
     if not len(words.starts):
@@ -51,22 +54,23 @@ def template_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     slash = np.zeros(len(data), bool)
     slash[1:] = (data[1:] == 47) & (data[:-1] == 47)
     token = words.hashes(_values[data])
-    token[words.any(_field[data] | slash)] = _FIELD
+    field = words.any(_field[data] | slash)
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, words.starts)
     first = np.flatnonzero(np.concatenate([[True], np.diff(line) > 0]))
     n = np.diff(np.concatenate([first, [len(token)]]))
+    bare = (n < MIN_TOKENS) & (np.add.reduceat(field, first, dtype=np.int64) == n)
+    token[field & ~np.repeat(bare, n)] = _FIELD
     order = np.arange(len(token)) - np.repeat(first, n)
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token * POWERS[order & 1023], dtype=np.uint64)])
 
-    use = np.flatnonzero(n >= MIN_TOKENS)
-    first, n = first[use], n[use]
-    cuts = [first + LEAD + (n - LEAD) * k // THIRDS for k in range(THIRDS + 1)]
+    lead = np.minimum(n, LEAD)
+    cuts = [first + lead + (n - lead) * k // THIRDS for k in range(THIRDS + 1)]
     leaf = upto[cuts[0]] - upto[first] + mix(n.astype(np.uint64) + _COUNT)
     thirds = [upto[b] - upto[a] for a, b in zip(cuts, cuts[1:])]
     total = leaf + thirds[0] + thirds[1] + thirds[2]
-    exact = mix(total) & ~np.uint64(1)
-    general = [mix((total - t) ^ k) | np.uint64(1) for t, k in zip(thirds, _KINDS[1:])]
+    exact = mix(total) & ~np.uint64(3) | np.where(n < MIN_TOKENS, np.uint64(SHORT), np.uint64(EXACT))
+    general = [mix((total - t) ^ k) & ~np.uint64(3) | np.uint64(GENERAL) for t, k in zip(thirds, _KINDS[1:])]
     doc = words.doc[first]
     number = line[first] - np.searchsorted(breaks, words.text_starts)[doc]
     long = np.flatnonzero(n >= LONG)
@@ -86,19 +90,20 @@ def _line_keys(batches):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks), *lists], ["doc_id", "mark", "keys", "lines"])
 
 
-def recurring(keys: DataFrame, min_docs: int, min_general: int) -> DataFrame:
+def recurring(keys: DataFrame, min_docs: int, min_general: int, min_short: int) -> DataFrame:
     """key, first: templates found in enough documents, and the least id that has them."""
     each = keys.select(F.explode(F.array_distinct("keys")).alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("d"))
     counted = each.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
-    enough = F.when(F.col("key") % 2 == 0, F.lit(min_docs)).otherwise(F.lit(min_general))
+    kind = F.col("key").bitwiseAND(3)
+    enough = F.when(kind == EXACT, F.lit(min_docs)).when(kind == SHORT, F.lit(min_short)).otherwise(F.lit(min_general))
     return counted.filter((F.col("n") >= enough) & (F.col("last") > F.col("first"))).select("key", "first")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3, min_short: int = 8) -> DataFrame:
     """docs with recurring lines dropped, and n_lines_dropped appended (or replaced)."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     keys = materialize(plain.mapInArrow(_line_keys, "doc_id long, mark long, keys array<long>, lines array<int>"), "lines")
-    found = recurring(keys, min_docs, min_general)
+    found = recurring(keys, min_docs, min_general, min_short)
     each = keys.select(F.coalesce("doc_id", F.lit(-1)).alias("__doc"), F.col("mark").alias("__mark"), F.explode(F.arrays_zip("keys", "lines")).alias("x"))
     hits = each.select("__doc", "__mark", F.col("x.keys").alias("key"), F.col("x.lines").alias("line")).join(found, "key").filter("__doc > first")
     drops = hits.groupBy("__doc", "__mark").agg(F.collect_set("line").alias("__drop"))

@@ -255,6 +255,17 @@ def test_line_dedup(spark, odd):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    own = ["ten", "two", "six", "one", "red", "sun", "sea", "sky"]
+    texts = [f"All rights reserved.\nHome\n\nPage {i} of\n{i}\n7\nown line {w}" for i, w in enumerate(own)]
+    docs = [(i, t, "a", "s", 1) for i, t in enumerate(texts)] + [(8, "Share this\nHome page", "a", "s", 1), (9, "Share this", "a", "s", 1)]
+    got = {r.doc_id: (r.text, r.n_lines_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(docs, DOCS)).collect()}
+    want = {i: (f"\n{i}\nown line {w}", 4) for i, w in enumerate(own)} | {0: (texts[0], 0), 7: ("\nown line sky", 5), 8: (docs[8][1], 0), 9: (docs[9][1], 0)}
+    assert got == want
+    few = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(docs[8:], DOCS), min_short=2).collect()}
+    assert few == {8: docs[8][1], 9: ""}
+
+
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 def test_line_dedup_equals_brute_force(spark):
     docs, _, _ = labelled(spark, "sf0.001")
