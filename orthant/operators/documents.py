@@ -10,12 +10,13 @@ from ..functions import text as t
 
 
 def relevance(docs: DataFrame, query: str, k: int, size: int = 500) -> DataFrame:
-    """doc, chunk_no, chunk, score of the k best chunks: chunk overlap plus 0.3 of the document's, which must be above 0."""
+    """doc, chunk_no, chunk, score of the k best chunks: chunk overlap plus 0.3 of the document's; both must be above 0."""
     q = t.words(F.lit(query))
     scored = docs.select("doc", "text", t.overlap(q, t.keywords(F.col("text"))).alias("of_doc")).filter("of_doc > 0")
     each = scored.select("doc", "of_doc", F.posexplode(t.chunks(F.col("text"), size)).alias("chunk_no", "chunk"))
-    score = F.round(t.overlap(q, t.words(F.col("chunk"))) + 0.3 * F.col("of_doc"), 9)
-    return each.select("doc", "chunk_no", "chunk", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc", "chunk_no").limit(k)
+    own = each.withColumn("own", t.overlap(q, t.words(F.col("chunk")))).filter("own > 0")
+    score = F.round(F.col("own") + 0.3 * F.col("of_doc"), 9)
+    return own.select("doc", "chunk_no", "chunk", score.alias("score")).orderBy(F.desc("score"), "doc", "chunk_no").limit(k)
 
 
 def context(best: DataFrame, max_tokens: int) -> DataFrame:

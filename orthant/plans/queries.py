@@ -368,6 +368,18 @@ def relevance(spark, d):
     return documents.relevance(docs, PHRASE, 10, size=1 << 30).select("doc", "chunk_no", "score")
 
 
+@query(f"""WITH RECURSIVE {KEYS}, q AS (SELECT unnest(string_split('{PHRASE}', ' ')) AS w), o AS (SELECT doc_id, count(*) / {len(PHRASE.split())} AS of_doc FROM q JOIN k USING (w) WHERE r <= 200 GROUP BY 1),
+pz AS (SELECT doc_id, of_doc, CASE WHEN length(text) <= 500 THEN [text] ELSE list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x) <> '') END AS p FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents) JOIN o USING (doc_id)),
+s AS (SELECT doc_id, of_doc, p, 1 AS i, 0 AS chunk, CAST(length(p[1]) AS BIGINT) AS used FROM pz WHERE len(p) > 0
+UNION ALL SELECT doc_id, of_doc, p, i + 1, CASE WHEN used + length(p[i + 1]) <= 500 THEN chunk ELSE chunk + 1 END, CASE WHEN used + length(p[i + 1]) <= 500 THEN used + 2 + length(p[i + 1]) ELSE length(p[i + 1]) END FROM s WHERE i < len(p)),
+h AS (SELECT DISTINCT doc_id, of_doc, chunk, unnest({WORDS.format('p[i]')}) AS w FROM s),
+c AS (SELECT doc_id, chunk, round(count(*) / {len(PHRASE.split())} + 0.3 * any_value(of_doc), 9) AS score FROM h JOIN q USING (w) GROUP BY 1, 2)
+SELECT doc_id AS doc, CAST(chunk AS INT) AS chunk_no, score FROM c ORDER BY score DESC, doc_id, chunk LIMIT 50""")
+def chunk_relevance(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))  # the tables have no paragraphs
+    return documents.relevance(docs, PHRASE, 50).select("doc", "chunk_no", "score")
+
+
 HASH_SEP = "[" + "".join("\\" + c if c in "[]\\^-&~" else ("''" if c == "'" else c) for c in t.SEPARATORS) + "]+"
 
 
