@@ -62,6 +62,12 @@ def true_neighbors(spark, d):
     return spatial.neighbors(points(spark, d), F.col("guid") % 1000 == 11, 200).groupBy("qid").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {P}, c AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz FROM p WHERE x % 100 = 0)
+SELECT qid, count(*) AS n FROM c JOIN p ON abs(x - qx) <= 200 AND {D2.format('qx', 'qy', 'qz')} <= 40000 GROUP BY qid""")
+def order_neighbors(spark, d):
+    return spatial.neighbors(points(spark, d), F.col("pos.x") % 100 == 0, 200).groupBy("qid").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {P} SELECT guid, CAST({D2.format(0, 0, 0)} AS BIGINT) AS dist2 FROM p ORDER BY 2, 1 LIMIT 20")
 def closest_to_origin(spark, d):
     return spatial.closest(points(spark, d), 20).select("guid", F.col("dist2").cast("long").alias("dist2"))
@@ -108,6 +114,11 @@ def leaf_neighbors(spark, d):
     return spatial.leaf_neighbors(spatial.assign_cells(points(spark, d)), F.col("guid") % 500 == 1, 100).select("qid", "guid", F.col("dist2").cast("long").alias("dist2"))
 
 
+@query("WITH " + CELLS.format(16) + f", q AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz, cell FROM cells) SELECT qid, guid, CAST({D2.format('qx', 'qy', 'qz')} AS BIGINT) AS dist2 FROM q JOIN cells USING (cell) WHERE {D2.format('qx', 'qy', 'qz')} <= 10000")
+def all_leaf_neighbors(spark, d):
+    return spatial.leaf_neighbors(spatial.assign_cells(points(spark, d)), F.lit(True), 100).select("qid", "guid", F.col("dist2").cast("long").alias("dist2"))
+
+
 @query(f"""WITH {P}, n AS (SELECT guid, CASE WHEN guid % 7 = 0 THEN x + 4611686018427387904 ELSE CAST(x AS HUGEINT) END AS x FROM p)
 SELECT CASE WHEN x < 4611686018427387904 THEN 'created' ELSE 'rejected_out_of_bounds' END AS status, count(*) AS n FROM n GROUP BY 1""")
 def admit_status(spark, d):

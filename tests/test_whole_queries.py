@@ -31,3 +31,11 @@ def test_relevance_scores_and_ranks_chunks(spark):
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 def test_relevance_is_registered_with_chunks(spark):
     assert any(r.chunk_no > 0 for r in queries.QUERIES["chunk_relevance"](spark, str(TABLES)).collect())
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_neighbors_of_whole_orders_and_of_all_rows(spark):
+    rows = queries.points(spark, str(TABLES)).select("guid", "pos.x").collect()
+    whole = {r.guid for r in rows if r.x % 100 == 0}
+    assert whole and {r.qid for r in queries.QUERIES["order_neighbors"](spark, str(TABLES)).collect()} == whole
+    assert {r.qid for r in queries.QUERIES["all_leaf_neighbors"](spark, str(TABLES)).collect()} == {r.guid for r in rows}
