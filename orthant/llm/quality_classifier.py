@@ -4,11 +4,12 @@ A document is a bag of passages of `PASSAGE` words. Each passage gets byte-bigra
 statistics, is encoded by a tanh layer, and receives a gated attention weight (tanh branch times sigmoid
 branch, softmax over the bag). The bag's label is a logistic function of the attention-weighted encoding, so
 only document labels are needed. Training takes a bounded sample (`per_class` labelled documents for each
-label, those of the least hashed ids); every document is scored from all its passages.
+label, those of the least hashed ids, `most_passages` passages of each); every document is scored from all its passages.
 
-Defined cases: a null or empty text is a bag with one zero passage; without usable labels every score is 0.5;
-conflicting labels of a document count as two examples; repeated rows are scored each; an empty table gives an
-empty result. Labels, language, source and id are not among the features.
+Defined cases: a null or empty text is a bag with one zero passage; without usable labels of both classes every score
+is 0.5; conflicting labels of a document count as two examples, several rows of a labelled id as one; repeated rows
+and null ids are scored each; an empty table gives an empty result; other columns pass through, but for `score` and
+`predicted`, which are replaced. Labels, language, source and id are not among the features.
 """
 
 from __future__ import annotations
@@ -134,26 +135,41 @@ class AttentionModel:
         return self.forward(x, bags)["y"]
 
 
+def usable_rows(labels: DataFrame, column: str, usable) -> DataFrame:
+    """doc_id, label: the distinct labels (0 or 1) of known ids."""
+    return labels.filter(usable & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
+
+
+def label_counts(labels: DataFrame, column: str, usable) -> list:
+    return usable_rows(labels, column, usable).groupBy("label").agg(F.count("*").alias("n")).collect()  # two rows
+
+
 def sample_ids(labels: DataFrame, column: str, usable, per_class: tuple[int, int]) -> DataFrame:
     """At most as many ids of each label (0, 1) as per_class has, by the least hash of the id: a bounded table."""
-    rows = labels.filter(usable & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
+    rows = usable_rows(labels, column, usable)
     halves = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k]) for k in (0, 1)]
     return halves[0].unionByName(halves[1])
 
 
-def _bag_bytes(batches):
-    for part in slices(batches, limit=ARRAY_BYTES):
-        x, bags = passages(utf8_list(part.column("text")))
-        cuts = np.concatenate([[0], np.cumsum(bags)])
-        rows = [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], ["label", "bag"])
+def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1500, most_passages: int = 64) -> AttentionModel | None:
+    """Fit on at most 2 * per_class documents; None without labelled documents of both classes.
 
-
-def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1500) -> AttentionModel | None:
-    """Fit on at most 2 * per_class documents; None without labelled documents of both classes."""
+    Every labelled id counts once, with the least of its bags if it has several rows. A bag is trained on with at most
+    most_passages passages, evenly spread over the text, so no document outweighs the driver; scoring uses all.
+    """
     chosen = sample_ids(labels, "quality", usable, (per_class, per_class))  # bounded, so it may be broadcast
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
-    rows = found.mapInArrow(_bag_bytes, "label int, bag binary").orderBy("label", F.xxhash64("bag")).limit(4 * per_class).toArrow()
+
+    def bags_of(batches):
+        for part in slices(batches, limit=ARRAY_BYTES):
+            x, bags = passages(utf8_list(part.column("text")))
+            cuts = np.concatenate([[0], np.cumsum(bags)])
+            spread = (np.unique(np.linspace(a, b - 1, min(b - a, most_passages)).astype(np.int64)) for a, b in zip(cuts, cuts[1:]))
+            rows = [x[at].tobytes() for at in spread]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "bag"])
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    single = found.mapInArrow(bags_of, "doc_id long, label int, bag binary").groupBy("doc_id", "label").agg(F.min("bag").alias("bag"))
+    rows = single.orderBy("label", F.xxhash64("doc_id"), "doc_id").toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         return None
@@ -161,19 +177,32 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1500) ->
     return AttentionModel().fit(np.concatenate(x).astype(np.float32), np.array([len(b) for b in x]), y)
 
 
+def _judged(part: pa.RecordBatch, model: AttentionModel | None) -> np.ndarray:
+    return np.full(part.num_rows, 0.5) if model is None else model.score(*passages(utf8_list(part.column("text"))))
+
+
 def score(docs: DataFrame, model: AttentionModel | None, threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted appended (their names must not be taken)."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, score double, predicted int"
+    """docs with score and predicted appended; columns of docs with these names are replaced."""
+    kept = [f.name for f in docs.schema.fields if f.name not in ("score", "predicted")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, score double, predicted int"
 
     def scored(batches):
         for part in slices(batches, limit=ARRAY_BYTES):
-            if model is None:
-                values = np.full(part.num_rows, 0.5)
-            else:
-                values = model.score(*passages(utf8_list(part.column("text"))))
+            values = _judged(part, model)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(scored, schema)
+    return rows.mapInArrow(scored, schema)
+
+
+def keep_good(docs: DataFrame, model: AttentionModel | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score threshold or more, with just their columns, whatever these are called."""
+
+    def good(batches):
+        for part in slices(batches, limit=ARRAY_BYTES):
+            yield part.filter(pa.array(_judged(part, model) >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)
 
 
 def usable_labels():
