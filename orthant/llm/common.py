@@ -18,8 +18,11 @@ SLICE_BYTES = 2 << 20
 ARRAY_BYTES = 1 << 18
 #: Entries kept in a per-worker word cache before it is emptied.
 CACHE_WORDS = 250_000
+#: Longer words aren't kept, so the entries bound the bytes of a cache.
+CACHE_LENGTH = 64
 
 _own_scratch: dict[str, str] = {}
+_tables: dict[str, set[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of the cluster; a temporary one only where none is configured and Spark runs in one process."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="orthant-scratch-")
-    return _own_scratch[app]
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_scratch:
+        _own_scratch[context.applicationId] = tempfile.mkdtemp(prefix="orthant-scratch-")
+    return _own_scratch[context.applicationId]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -42,9 +47,62 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     The result survives the loss of any executor because no block of it lives on one.
     """
-    path = f"{scratch_dir(df.sparkSession)}/orthant-{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/orthant-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application: to be called once the results that read them are written."""
+    for path in list(_tables.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _tables.get(spark.sparkContext.applicationId, set()).discard(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened by underscores until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it has more than this part of all rows, so there are at most so many hot keys.
+HOT_PART = 1024
+
+
+def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with keyed, which has one row for each key, and in `count` the key's number of rows.
+
+    Keys with more than a `HOT_PART`-th of `total` rows (no fewer than all rows divided by a small constant) are joined by
+    broadcast, and there are so few of them whatever the data; only the others are shuffled, so no task gets a hot key.
+    """
+    hot = keyed.filter(F.col(count) * HOT_PART > total)
+    rest = keyed.filter(F.col(count) * HOT_PART <= total)
+    few = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(few, keys).unionByName(cold)
 
 
 def crc_mod(column: str, modulus: int):
@@ -102,7 +160,7 @@ class BoundedCache(dict):
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(self) < 4 * self.most:
+        if len(key) <= CACHE_LENGTH and len(self) < 4 * self.most:
             self[key] = value
         return value
 
@@ -114,6 +172,18 @@ class BoundedCache(dict):
 _blank = np.zeros(256, bool)
 _blank[[32, 9, 10, 11, 12, 13]] = True
 POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+_giant = [np.ones(1, np.uint64)]
+
+
+def powers(place: np.ndarray) -> np.ndarray:
+    """Powers of an odd number, one for each place; those of places from 1024 on are products of two."""
+    low = POWERS[place & 1023]
+    most = int(place.max(initial=0)) >> 10
+    if not most:
+        return low
+    if len(_giant[0]) <= most:
+        _giant[0] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * most, POWERS[1023], np.uint64), dtype=np.uint64)])
+    return low * _giant[0][place >> 10]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +214,7 @@ class ByteWords:
         lengths = np.diff(np.concatenate([self.starts, [len(values)]]))
         before = np.repeat(kept[self.starts] - some[self.starts], lengths)
         place = kept[self.starts[0] :] - before
-        values = values[self.starts[0] :] * POWERS[place & 1023]
+        values = values[self.starts[0] :] * powers(place)
         return mix(np.add.reduceat(values, self.starts - self.starts[0]))
 
     def any(self, flags: np.ndarray) -> np.ndarray:
