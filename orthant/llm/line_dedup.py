@@ -10,12 +10,14 @@ repeat by chance: `min_short`); its lines are dropped from all documents but the
 so a text is never lost altogether. A short line of variable fields only counts with its values, as nothing else tells
 it from others.
 
-Each document sends every template key once, so counting keys counts documents and pre-aggregates map-side.
+Each document sends every template key once, so counting keys counts documents and pre-aggregates map-side. Templates
+of more than a 1024th of all keys meet their lines in a broadcast join, of which there are so few at any size.
 Decisions travel as line numbers; the text is joined to them once, by id and text hash.
 
 Defined cases: null and empty texts stay as they are; of repeated rows none counts as another document, all are
 treated alike; null ids count as id -1; blank lines stay; an empty table gives an empty result; other columns pass
-through (n_chars, if there, is recomputed for changed texts).
+through, whatever their names, but for n_lines_dropped, which is replaced (n_chars, if there, is recomputed for changed
+texts).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARRAY_BYTES, POWERS, ByteWords, materialize, mix, slices, table, utf8_list
+from .common import ARRAY_BYTES, ByteWords, fresh, materialize, mix, powers, skew_join, slices, table, utf8_list
 
 MIN_TOKENS = 4
 LONG = 9
@@ -62,7 +64,7 @@ def template_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     bare = (n < MIN_TOKENS) & (np.add.reduceat(field, first, dtype=np.int64) == n)
     token[field & ~np.repeat(bare, n)] = _FIELD
     order = np.arange(len(token)) - np.repeat(first, n)
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token * POWERS[order & 1023], dtype=np.uint64)])
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token * powers(order), dtype=np.uint64)])
 
     lead = np.minimum(n, LEAD)
     cuts = [first + lead + (n - lead) * k // THIRDS for k in range(THIRDS + 1)]
@@ -80,42 +82,54 @@ def template_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return doc[rows[rank]], number[rows[rank]], keys[rank].view(np.int64)
 
 
+_LINES = "doc_id long, mark long, n_keys int, keys array<long>, lines array<array<int>>"
+
+
 def _line_keys(batches):
+    """Each text's distinct keys, and for each the numbers of its lines."""
     for part in slices(batches, limit=ARRAY_BYTES):
         texts = utf8_list(part.column("text"))
         doc, line, key = template_keys(texts)
-        offsets = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
+        order = np.lexsort((line, key, doc))
+        doc, line, key = doc[order], line[order], key[order]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(doc[new], np.arange(len(texts) + 1)).astype(np.int32)
         marks = np.fromiter(map(_mark, texts), np.uint64, len(texts)).view(np.int64)
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key, line.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks), *lists], ["doc_id", "mark", "keys", "lines"])
+        each = pa.ListArray.from_arrays(pa.array(np.append(new, len(line)).astype(np.int32)), pa.array(line.astype(np.int32)))
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (pa.array(key[new]), each)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks), pa.array(np.diff(cuts)), *lists], ["doc_id", "mark", "n_keys", "keys", "lines"])
 
 
 def recurring(keys: DataFrame, min_docs: int, min_general: int, min_short: int) -> DataFrame:
-    """key, first: templates found in enough documents, and the least id that has them."""
-    each = keys.select(F.explode(F.array_distinct("keys")).alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("d"))
+    """key, first, n: templates found in enough documents, the least id that has them, and the number of rows that do."""
+    each = keys.select(F.explode("keys").alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("d"))
     counted = each.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
     kind = F.col("key").bitwiseAND(3)
     enough = F.when(kind == EXACT, F.lit(min_docs)).when(kind == SHORT, F.lit(min_short)).otherwise(F.lit(min_general))
-    return counted.filter((F.col("n") >= enough) & (F.col("last") > F.col("first"))).select("key", "first")
+    return counted.filter((F.col("n") >= enough) & (F.col("last") > F.col("first"))).select("key", "first", "n")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3, min_short: int = 8) -> DataFrame:
     """docs with recurring lines dropped, and n_lines_dropped appended (or replaced)."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    keys = materialize(plain.mapInArrow(_line_keys, "doc_id long, mark long, keys array<long>, lines array<int>"), "lines")
-    found = recurring(keys, min_docs, min_general, min_short)
-    each = keys.select(F.coalesce("doc_id", F.lit(-1)).alias("__doc"), F.col("mark").alias("__mark"), F.explode(F.arrays_zip("keys", "lines")).alias("x"))
-    hits = each.select("__doc", "__mark", F.col("x.keys").alias("key"), F.col("x.lines").alias("line")).join(found, "key").filter("__doc > first")
-    drops = hits.groupBy("__doc", "__mark").agg(F.collect_set("line").alias("__drop"))
+    keys = materialize(plain.mapInArrow(_line_keys, _LINES), "lines")
+    found = materialize(recurring(keys, min_docs, min_general, min_short), "templates")
+    total = keys.agg(F.sum("n_keys")).first()[0] or 0
+    each = keys.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "mark", F.explode(F.arrays_zip("keys", "lines")).alias("x"))
+    hits = skew_join(each.select("d", "mark", F.col("x.keys").alias("key"), F.col("x.lines").alias("lines")), found, ["key"], "n", total).filter("d > first")
+    at, mark, drop = fresh(docs, "d", "mark", "drop")
+    drops = hits.groupBy(F.col("d").alias(at), F.col("mark").alias(mark)).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(drop))
     names = [c for c in docs.columns if c != "n_lines_dropped"]
-    marked = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__mark": F.xxhash64("text")})
-    joined = marked.join(drops, ["__doc", "__mark"], "left")
-    left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(__drop, i)), '\n')")
-    changed = F.col("__drop").isNotNull()
-    out = joined.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
+    marked = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), mark: F.xxhash64("text")})
+    joined = marked.join(drops, [at, mark], "left")
+    # The text is split once: the lambda's variable holds its lines.
+    left = F.expr(f"transform(array(split(text, '\\n', -1)), x -> array_join(transform(array_except(sequence(0, size(x) - 1), `{drop}`), i -> x[i]), '\n'))[0]")
+    changed = F.col(f"`{drop}`").isNotNull()
+    out = {"text": F.when(changed, left).otherwise(F.col("text"))}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names, F.when(changed, F.size("__drop")).otherwise(0).alias("n_lines_dropped"))
+        out["n_chars"] = F.when(changed, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    columns = [out[c].alias(c) if c in out else F.col(f"`{c}`") for c in names]
+    return joined.select(*columns, F.when(changed, F.size(F.col(f"`{drop}`"))).otherwise(0).alias("n_lines_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
