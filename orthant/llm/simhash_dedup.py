@@ -1,23 +1,27 @@
 """SimHash near-duplicates found with Golay-code fuzzy hashing.
 
 Fingerprint: majority of the bits of the XXH64 (seed 42) of all 4-word shingles. Documents are linked if their
-fingerprints differ in 4 bits or fewer. The 64 bits are cut into five exact segments (13, 13, 13, 13, 12 bits):
-four errors leave one of them intact. The other 51 bits hold two 23-bit words; at most four errors fall on the
-two, so one word has two or fewer. In the perfect (23, 12) Golay code, two words at distance 2 or less always
-have a codeword within distance 4 of both (take the codeword within 3 of a word between them), and a word has
-one such codeword or six. So each fingerprint gets keys of (segment, its bits, word, 12-bit index of a nearby
-codeword), about 53 in all, and linked fingerprints share a key. Only distinct fingerprints take part; buckets
+fingerprints differ in 4 bits or fewer. The 64 bits are cut into 4 + e segments; four errors leave e of them intact,
+so each choice of e segments gives exact bits of a key. Of the other bits, two words of up to 23 are taken; at most
+four errors fall on the two, so one word has two or fewer. In the perfect (23, 12) Golay code, two words at distance 2
+or less always have a codeword within distance 4 of both (take the codeword within 3 of a word between them), and a
+word has one such codeword or six. So each fingerprint gets keys of (segments, their bits, word, 12-bit index of a
+nearby codeword), and linked fingerprints share a key whatever e is. e follows the number of distinct fingerprints:
+1 up to `FEW` (about 53 keys of 25 bits each), then 2 (about 160 of 33 bits), then 3 (about 370 of 39 bits), so the
+candidates of a fingerprint don't grow with the corpus. Only distinct fingerprints take part; buckets
 of more than `CHUNK` are split into pairs of chunks; candidates are verified by their distance, and each bucket
 yields a spanning forest instead of all its pairs. Components are then found by star contraction.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share
 their component; null ids are kept, and take part as the lowest ids do (their component_id is that of the
-others, or null); an empty table gives an empty result; further columns are ignored.
+others, or null); an empty table gives an empty result; further columns are ignored (in the stage they pass through,
+whatever their names and types).
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table, utf8_list
+from .common import discard, fresh, materialize, skew_join, slices, table, utf8_list
 from .components import components
 
 SHINGLE = 4
 DISTANCE = 4
-SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Most distinct fingerprints for one, and for two, exact segments in a key.
+FEW = (1 << 20, 1 << 27)
 CHUNK = 4096
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
@@ -104,33 +109,54 @@ def nearby_codewords(words: np.ndarray) -> np.ndarray:
     return np.where(errors < 0, -1, (words[:, None] ^ np.maximum(errors, 0)) >> 11)
 
 
-def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def segments(exact: int) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(exact pieces, other pieces) as (first bit, bits), for each choice of `exact` of the DISTANCE + exact segments."""
+    n = DISTANCE + exact
+    cuts = [64 * k // n for k in range(n + 1)]
+    pieces = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return [([pieces[i] for i in some], [x for i, x in enumerate(pieces) if i not in some]) for some in itertools.combinations(range(n), exact)]
+
+
+def _gather(x: np.ndarray, pieces: list[tuple[int, int]]) -> np.ndarray:
+    out, at = np.zeros(len(x), np.uint64), 0
+    for first, width in pieces:
+        out |= ((x >> np.uint64(first)) & np.uint64((1 << width) - 1)) << np.uint64(at)
+        at += width
+    return out
+
+
+def fuzzy_keys(prints: np.ndarray, exact: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): the keys of each fingerprint."""
     x = prints.astype(np.uint64)
     rows, keys = [], []
-    for s, (at, width) in enumerate(SEGMENTS):
-        exact = ((x >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        rest = (x & np.uint64((1 << at) - 1)) | ((x >> np.uint64(at + width)) << np.uint64(at) if at + width < 64 else np.uint64(0))
+    for s, (fixed, others) in enumerate(segments(exact)):
+        bits, rest = _gather(x, fixed).astype(np.int64), _gather(x, others)
         for w in (0, 1):
             word = ((rest >> np.uint64(23 * w)) & np.uint64((1 << 23) - 1)).astype(np.int64)
             codes = nearby_codewords(word)
             row, k = np.nonzero(codes >= 0)
             rows.append(row)
-            keys.append(((2 * s + w) << 25) | (exact[row] << 12) | codes[row, k])
+            keys.append(((2 * s + w) << 44) | (bits[row] << 12) | codes[row, k])
     return np.concatenate(rows), np.concatenate(keys)
 
 
 def _print_rows(batches):
     for part in slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(utf8_list(part.column("text"))).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(utf8_list(part.column("text"))).view(np.int64)), part.column("mark")], ["doc_id", "fp", "mark"])
 
 
-def _key_rows(batches):
-    for batch in batches:
-        for start in range(0, batch.num_rows, 20_000):
-            prints = batch.column("fp").slice(start, 20_000).to_numpy(zero_copy_only=False)
-            row, key = fuzzy_keys(prints.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[row])], ["key", "fp"])
+def _key_rows(exact: int):
+    size = 20_000 // len(segments(exact)) * 5
+
+    def rows(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                prints = batch.column("fp").slice(start, size).to_numpy(zero_copy_only=False)
+                row, key = fuzzy_keys(prints.view(np.uint64), exact)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[row])], ["key", "fp"])
+
+    return rows
 
 
 def forest(group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,40 +217,58 @@ def _forest_rows(batches):
         yield edges(rest)
 
 
-def print_links(distinct: DataFrame) -> DataFrame:
+def print_links(distinct: DataFrame, exact: int | None = None) -> DataFrame:
     """u, v: edges between fingerprints (bigint column fp, distinct) that connect all those within DISTANCE."""
-    keys = materialize(distinct.mapInArrow(_key_rows, "key long, fp long"), "keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = keys.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    if exact is None:
+        n = distinct.count()
+        exact = 1 + sum(n > most for most in FEW)
+    keys = materialize(distinct.mapInArrow(_key_rows(exact), "key long, fp long"), "keys")
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    sized = skew_join(keys, sizes, ["key"], "n", keys.count()).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     paired = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.least("own", "other").cast("long") * (1 << 24) + F.greatest("own", "other")
     rows = paired.select("key", pair.alias("pair"), "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "fp").mapInArrow(_forest_rows, "u long, v long").distinct()
+    found = rows.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "fp").mapInArrow(_forest_rows, "u long, v long").distinct()
+    links = materialize(found, "links")
+    discard(keys, sizes)
+    return links
+
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, mark) of each row, mark being the text's hash; and (fp, root) of the distinct fingerprints."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    prints = materialize(rows.mapInArrow(_print_rows, "doc_id long, fp long, mark long"), "prints")
+    groups = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("kept")), "groups")
+    roots = components(print_links(groups.select("fp")))
+    return prints, groups.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id, one row for each row of docs."""
-    prints = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_print_rows, "doc_id long, fp long"), "prints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    roots = components(print_links(groups.select("fp")))
-    rooted = groups.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    prints, rooted = _rooted(docs)
+    rooted = materialize(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
+    named = skew_join(rooted, least, ["root"], "m", rooted.count()).select("fp", "n", "component_id")
+    return skew_join(prints, materialize(named, "named"), ["fp"], "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document of each component whose id is its component_id; rows with a null id stay.
+    """One row of each component: that of the least id (null ids first), then of the least text hash.
 
-    The decisions carry ids only; of repeated rows with the kept id one stays, the least by text.
+    Of rows alike in both, one stays, the least by the hash of its other columns.
     """
-    found = simhash_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rest = docs.join(found, docs["doc_id"] == found["kept_id"], "left_semi")
-    order = [c for c, kind in docs.dtypes if c != "doc_id"]
-    first = rest.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row")) if order else rest.select("doc_id").distinct()
-    single = first.select("doc_id", *(F.col(f"row.{c}").alias(c) for c in order)).select(*docs.columns) if order else first
-    return single.unionByName(docs.filter(F.col("doc_id").isNull()))
+    _, rooted = _rooted(docs)
+    kept = rooted.groupBy("root").agg(F.min("kept").alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.mark").alias("kept_mark"))
+    names = docs.columns
+    mark, row = fresh(docs, "mark", "row")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    kept = kept.select(F.col("kept_id").alias("kept_id"), F.col("kept_mark").alias("kept_mark"))
+    rest = marked.join(kept, marked["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_mark"]), "left_semi")
+    others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")))
+    single = rest.groupBy("doc_id", mark).agg(F.min_by(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), F.to_json(others)).alias(row))
+    return single.select(*(F.col(f"`{row}`.c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
