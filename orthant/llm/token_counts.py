@@ -6,21 +6,28 @@ the last `reach` characters, the last token at each and the token count relative
 Reading a character leads to the next state and emits the change of the token count, the transition's annotation.
 States and transitions are made on first use and kept; a full machine is emptied and made anew.
 
-A text is cut into chunks of fixed length. A chunk's state map is kept as (head, count, tail): the characters up to
-the first point where every state falls together (a space behind another character, as no token goes on past a
-word), the tokens from there to the last such point, and the characters behind it. Maps compose associatively,
-joining a tail to the next head, and a prefix scan over the chunks (pairs, pairs of pairs, ...) gives the text's
-count. Counts of whole words come from a cache that the transducer fills.
-
-Characters without a piece are counted as their bytes (byte fallback). Runs of spaces count as the library merges
-them. The vocabulary file is read here; the library isn't needed.
-
-Defined cases: null and empty texts have no bytes and no tokens; repeated rows are counted each; an empty table
-gives an empty result; further columns are ignored.
+Runs of spaces merge last, as in the library: a word behind k > 1 spaces is read from a start state of its own, in which
+a first token of the space alone emits what the k-th space adds to the run's count. So the state decides, once the word
+is read, whether the last space joins it.
+
+A text longer than `CHUNK` is cut into chunks, and each chunk becomes a state map: a function from the state before the
+chunk to the state behind it and the tokens emitted. Behind the first border of words all states fall together, so a map
+holds the characters up to there and one exit state and count; a chunk without a border keeps the trace of states from
+the start state, and any other state is followed only until it meets the trace. Maps compose associatively, in pairs,
+pairs of pairs and so on (the up-sweep of a parallel prefix scan); a composed map remembers what lies behind its first
+part's usual exit, so no text is read again. A text is one row, so its maps are composed in the task that has it. Words
+met before are single transitions from the start state, kept in a cache.
+
+Characters without a piece are counted as their bytes (byte fallback). The vocabulary file is read here; the library
+isn't needed.
+
+Defined cases: null and empty texts have no bytes and no tokens; repeated rows and null ids are counted each; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 
@@ -105,19 +112,32 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = [("", ((None, 0),))]  # context, then (last token, relative count) at its borders
-        self.index: dict[tuple, int] = {self.states[0]: 0}
+        self.states: list[tuple] = []  # context, then (last token, relative count) at its borders
+        self.index: dict[tuple, int] = {}
         self.step: dict[int, int] = {}  # state and character: next state and change of the count
 
+    @staticmethod
+    @functools.cache
+    def start(extra: int = 0) -> tuple:
+        """The state before a word; a first token of the space alone counts 1 + extra. A number stands for the last token."""
+        return "", ((extra, 0),)
+
+    def number(self, state: tuple) -> int:
+        found = self.index.get(state)
+        if found is None:
+            found = self.index[state] = len(self.states)
+            self.states.append(state)
+        return found
+
     def whole(self, piece: str) -> bool:
         """Whether a piece is the encoding of its own characters."""
         if piece not in self.atoms:
             self.atoms[piece] = len(piece) == 1 or merge(list(piece), self.scores) == [piece]
         return self.atoms[piece]
 
-    def valid(self, left: str | None, right: str) -> bool:
+    def valid(self, left: str | int, right: str) -> bool:
         """Whether right can follow left: together they encode to these two."""
-        if left is None:
+        if isinstance(left, int):
             return True
         key = (left, right)
         if key not in self.pairs:
@@ -143,89 +163,152 @@ class Transducer:
             if (size - start == 1 or token in scores and self.whole(token)) and self.valid(border[0], token):
                 break
         count = border[1] + (1 if token in scores else len(token.encode()))
+        if token == SPACE and isinstance(border[0], int):
+            count += border[0]
         keep = 0
         while keep < size and text[keep:] not in prefixes:
             keep += 1
         new = (text[keep:], (*((x[0], x[1] - count) if (x := borders[i]) is not None and (i == keep or text[i:] in prefixes) else None for i in range(keep, size)), (token, 0)))
-        number = self.index.get(new)
-        if number is None:
-            number = self.index[new] = len(self.states)
-            self.states.append(new)
-        self.step[key] = out = number << 8 | count + 128
+        self.step[key] = out = self.number(new) << 8 | count + 128
         return out
 
-    def count(self, text: str) -> int:
+    def walk(self, state: tuple, text: str, trace: list | None = None) -> tuple[tuple, int, int]:
+        """(state, tokens emitted, characters read); ends early where a trace from another state is met."""
         if len(self.states) > MOST_STATES:
             self.reset()
-        state = total = 0
-        step, move = self.step, self.move
-        for char in text:
-            key = state << 21 | ord(char)
+        now, total, step, move = self.number(state), 0, self.step, self.move
+        if trace is None:
+            for char in text:
+                key = now << 21 | ord(char)
+                found = step.get(key) or move(key)
+                now = found >> 8
+                total += (found & 255) - 128
+            return self.states[now], total, len(text)
+        for i, char in enumerate(text):
+            key = now << 21 | ord(char)
             found = step.get(key) or move(key)
-            state = found >> 8
+            now = found >> 8
             total += (found & 255) - 128
-        return total
+            if self.states[now] == trace[i][0]:
+                return self.states[now], total, i + 1
+        return self.states[now], total, len(text)
+
+    def trace(self, text: str) -> list[tuple[tuple, int]]:
+        """(state, tokens emitted so far) behind each character, from the start state."""
+        out, state, total = [], self.start(), 0
+        for char in text:
+            state, more, _ = self.walk(state, char)
+            total += more
+            out.append((state, total))
+        return out
 
 
 _word = re.compile(f"{SPACE}+[^{SPACE}]*")
-_spaces = re.compile(f"{SPACE}{{2,}}")
+_part = re.compile(f"{SPACE}+|[^{SPACE}]+")
+_border = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
 class Counter:
+    """Counts over words. A state is (length of the open run of spaces, state of the transducer in the open word)."""
+
     def __init__(self, path: str):
         self.machine = Transducer(read_pieces(path))
+        self.start = (0, self.machine.start())
         self.words = BoundedCache(self.count_word)
+        self.runs: dict[int, int] = {}
+
+    def run(self, n: int) -> int:
+        """Tokens of n spaces."""
+        if n not in self.runs:
+            longest = self.machine.longest
+            many = n // longest - 2
+            if len(self.runs) > 100_000:
+                self.runs.clear()
+            self.runs[n] = len(merge([SPACE] * n, self.machine.scores)) if n <= 4 * longest else many + self.run(n - many * longest)
+        return self.runs[n]
+
+    def advance(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The state behind text, and the tokens emitted on the way."""
+        spaces, inner = state
+        total = 0
+        for part in _part.findall(text):
+            if part[0] == SPACE:
+                spaces += len(part)
+                continue
+            if spaces:
+                before = self.run(spaces - 1) if spaces > 1 else 0
+                inner = self.machine.start(self.run(spaces) - before - 1 if spaces > 1 else 0)
+                total += before
+                part = SPACE + part
+                spaces = 0
+            inner, more, _ = self.machine.walk(inner, part)
+            total += more
+        return (spaces, self.machine.start() if spaces else inner), total
+
+    def close(self, state: tuple) -> int:
+        """Tokens still open at the end."""
+        return self.run(state[0]) if state[0] else 0
 
     def count_word(self, word: str) -> int:
-        """Tokens of a run of spaces with the characters behind it, or of characters without spaces."""
-        spaces = len(word) - len(word.lstrip(SPACE))
-        if spaces < 2:
-            return self.machine.count(word)
-        return self._spaced(spaces, word[spaces:])
-
-    def _spaced(self, spaces: int, rest: str) -> int:
-        """Spaces merge last, so the last one of a run joins the word just if it does so without the others."""
-        if rest and len(merge(list(SPACE + rest[: 8 * self.machine.longest]), self.machine.scores)[0]) > 1:
-            return self._run(spaces - 1) + self.machine.count(SPACE + rest)
-        return self._run(spaces) + (self.machine.count(rest) if rest else 0)
-
-    def _run(self, n: int) -> int:
-        longest = self.machine.longest
-        return len(merge([SPACE] * n, self.machine.scores)) if n <= 4 * longest else (n // longest - 2) + self._run(n - (n // longest - 2) * longest)
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(head, count, tail); count is None while no point has been met where all states fall together."""
-        first = chunk.find(SPACE, 1)
-        while first > 0 and chunk[first - 1] == SPACE:
-            first = chunk.find(SPACE, first + 1)
-        if first < 0:
-            return chunk, None, ""
-        last = chunk.rfind(SPACE)
-        while last > first and chunk[last - 1] == SPACE:
-            last -= 1
-        return chunk[:first], sum(map(self.words.__getitem__, _word.findall(chunk, first, last))), chunk[last:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None and b[1] is None:
-            return self.chunk_map(a[0] + b[0])
-        if a[1] is None:
-            head, count, tail = self.chunk_map(a[0] + b[0])
-            return (a[0] + b[0], b[1], b[2]) if count is None else (head, count + self.words[tail] + b[1], b[2])
-        joined = self.chunk_map(a[2] + b[0])
-        if b[1] is None:
-            return (a[0], a[1], joined[0]) if joined[1] is None else (a[0], a[1] + self.words[joined[0]] + joined[1], joined[2])
-        middle = self.words[joined[0]] if joined[1] is None else self.words[joined[0]] + joined[1] + self.words[joined[2]]
-        return a[0], a[1] + middle + b[1], b[2]
+        """Tokens of a run of spaces with the characters behind it."""
+        state, total = self.advance(self.start, word)
+        return total + self.close(state)
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         marked = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(marked[i : i + CHUNK]) for i in range(0, len(marked), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return self.words[head] + (0 if count is None else count + self.words[tail])
+        if len(marked) <= CHUNK:
+            return sum(map(self.words.__getitem__, _word.findall(marked)))
+        state, total = scan([ChunkMap(self, marked[i : i + CHUNK]) for i in range(0, len(marked), CHUNK)])(self.start)
+        return total + self.close(state)
+
+
+class ChunkMap:
+    """State map of a chunk: called with the state before it, gives the state behind it and the tokens emitted."""
+
+    def __init__(self, counter: Counter, chunk: str):
+        self.counter = counter
+        border = _border.search(chunk)
+        self.head, self.exit, self.rest = (chunk[: border.start()] if border else chunk), None, 0
+        if border:
+            last = max(m.start() for m in _border.finditer(chunk, border.start()))
+            done = sum(map(counter.words.__getitem__, _word.findall(chunk, border.start(), last)))
+            self.exit, tail = counter.advance(counter.start, chunk[last:])
+            self.rest = done + tail
+        self.trace = counter.machine.trace(chunk) if not border and SPACE not in chunk else None
+        self.usual = self(counter.start)
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        if self.trace and not state[0]:
+            if state == self.counter.start:
+                return (0, self.trace[-1][0]), self.trace[-1][1]
+            inner, total, read = self.counter.machine.walk(state[1], self.head, self.trace)
+            return (0, self.trace[-1][0] if read < len(self.head) else inner), total + self.trace[-1][1] - self.trace[read - 1][1]
+        state, total = self.counter.advance(state, self.head)
+        return (self.exit, total + self.rest) if self.exit else (state, total)
+
+
+class Composed:
+    """The map of two neighbouring parts of a text; what follows the first one's usual exit is known beforehand."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+        state, total = first.usual
+        self.known = second(state)
+        self.usual = self.known[0], total + self.known[1]
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        state, total = self.first(state)
+        end, more = self.known if state == self.first.usual[0] else self.second(state)
+        return end, total + more
+
+
+def scan(maps: list):
+    """The composition of all maps, by a balanced tree over neighbours."""
+    while len(maps) > 1:
+        maps = [Composed(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 _counters: dict[str, Counter] = {}

@@ -182,13 +182,13 @@ def test_fingerprints(spark, odd):
 
 def test_golay_keys_reach_all_links():
     r = np.random.default_rng(7)
-    for k in (0, 1, 2, 3, 4):
+    for exact, k in itertools.product((1, 2, 3), (0, 1, 2, 3, 4)):
         for _ in range(60):
             x = int(r.integers(0, 2**64, dtype=np.uint64))
             y = x
             for i in r.choice(64, k, replace=False):
                 y ^= 1 << int(i)
-            row, key = simhash_dedup.fuzzy_keys(np.array([x, y], np.uint64))
+            row, key = simhash_dedup.fuzzy_keys(np.array([x, y], np.uint64), exact)
             assert set(key[row == 0]) & set(key[row == 1])
 
 
@@ -421,21 +421,39 @@ def test_token_counts_equal_the_library(spark, odd):
     assert Counter((x.doc_id, x.n_bytes, x.n_tokens, x.over_limit) for x in rows) == Counter((x.doc_id, len((x.text or "").encode()), n := len(library.encode(x.text or "")), n > 100) for x in odd.collect())
 
 
-def test_chunk_maps_compose(spark):
+def test_chunk_maps_compose(monkeypatch):
     pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_path())
     counter = token_counts.Counter(token_counts.default_path())
     r = random.Random(11)
-    text = "▁" + "".join(r.choices(["ab", "▁", "▁▁", "the", "ing", "é"], k=400))
-    whole = counter.chunk_map(text)
-    want = counter.words[whole[0]] + whole[1] + counter.words[whole[2]]
-    for size in (1, 3, 7, 50):
-        maps = [counter.chunk_map(text[i : i + size]) for i in range(0, len(text), size)]
-        for fold in (lambda m: [counter.compose(m[0], m[1]), *m[2:]], lambda m: [*m[:-2], counter.compose(m[-2], m[-1])]):
-            now = maps
-            while len(now) > 1:
-                now = fold(now)
-            head, count, tail = now[0]
-            assert counter.words[head] + count + counter.words[tail] == want
+    texts = ["".join(r.choices(["ab", " ", "  ", "     ", "the", "ing", "é", "x" * 9], k=200)) for _ in range(6)]
+    texts += ["".join(r.choices("abcdeinorst", k=900)), " " * 300 + "the", "the" + " " * 300, "漢" * 50, *(" " * n + w for n in range(2, 40) for w in ("the", "x", "ing"))]
+    for size in (1, 3, 7, 50, 1 << 14):
+        monkeypatch.setattr(token_counts, "CHUNK", size)
+        assert [counter.count(t) for t in texts] == [len(library.encode(t)) for t in texts]
+    marked = "▁" + texts[0].replace(" ", "▁")
+    maps = [token_counts.ChunkMap(counter, marked[i : i + 5]) for i in range(0, len(marked), 5)]
+    want = token_counts.scan(maps)(counter.start)
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = token_counts.Composed(left, m)
+    for m in maps[-2::-1]:
+        right = token_counts.Composed(m, right)
+    states = [counter.start, *(m.usual[0] for m in maps)]
+    assert left(counter.start) == right(counter.start) == want and all(left(s) == right(s) for s in states)
+
+
+def test_a_full_transducer_starts_anew(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "MOST_STATES", 50)
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_path())
+    counter = token_counts.Counter(token_counts.default_path())
+    text = "".join(random.Random(12).choices("abcdeinorst ", [1] * 11 + [0.01], k=60_000))
+    assert counter.count(text) == len(library.encode(text)) and len(counter.machine.states) < 50 + token_counts.CHUNK
 
 
 CHATS = "conv_id long, turn long, role string, text string"
