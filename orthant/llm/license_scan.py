@@ -4,14 +4,15 @@ An Aho-Corasick automaton finds the rules' keywords in a text; only rules with a
 Detections are taken in the order of priority, then length, then place; one that lies within a detection already
 taken is suppressed. Besides the method's labels, the base phrases are counted and their labels always stay.
 
-Defined cases: null and empty texts have no words, labels "" and score 0; repeated rows are scanned each; an empty
-table gives an empty result; further columns are ignored.
+Defined cases: null and empty texts have no words, labels "" and score 0; repeated rows and null ids are scanned
+each; of equal detections the rule written first is taken; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,36 +51,45 @@ class Scanner:
             at = bisect_right(taken, (start, len(joined) + 1, 0))
             if at and taken[at - 1][1] >= end:
                 continue
-            later = next((x for x in taken[at:] if x[0] > start), None)
-            if later and later[1] <= end:  # a weaker rule around a stronger one
+            if at < len(taken) and taken[at][1] <= end:  # a weaker rule around a stronger one
                 continue
             taken.insert(at, (start, end, i))
         return taken
 
     def scan(self, text: bytes) -> tuple:
-        words = text.translate(_words).split()
+        plain = text.translate(_words)
+        words = plain.split()
         places: list[int] = []
         base: set[str] = set()
-        present = set(words) if b"license" in text.lower() or b" by" in text.translate(_words) else ()
         found: list[dict] = []
-        if present:
+        present = set(words) if b"license" in plain or b"by" in plain else ()
+        hits = [(pattern, label) for pattern, label, lead in _base if lead in present]
+        if hits:
             joined = b" ".join(words)
-            for pattern, label, lead in _base:
-                if lead in present:
-                    hits = [joined.count(b" ", 0, m.start()) for m in pattern.finditer(joined)]
-                    if hits:
-                        places += hits
-                        base.add(label)
-        keyed = (b" ".join(words)).decode("utf-8", "replace")
-        for start, end, i in self.detections(keyed):
-            rule = self.rules[i]
-            found.append({"label": rule.label, "word": keyed.count(" ", 0, start), "n_words": keyed.count(" ", start, end) + 1, "priority": rule.priority})
+            starts = _starts(words)
+            for pattern, label in hits:
+                own = [bisect_left(starts, m.start()) for m in pattern.finditer(joined)]
+                places += own
+                base |= {label} if own else set()
+        keyed = b" ".join(words).decode("utf-8", "replace")
+        taken = self.detections(keyed)
+        if taken:
+            starts = _starts(keyed.split(" "))
+            for start, end, i in taken:
+                rule = self.rules[i]
+                word = bisect_left(starts, start)
+                found.append({"label": rule.label, "word": word, "n_words": bisect_left(starts, end) - word, "priority": rule.priority})
         labels = sorted(base | {x["label"] for x in found})
         covered = sum(x["n_words"] for x in found)
         score = 0.0 if not labels else min(1.0, 0.5 + 0.5 * min(1.0, 4 * covered / max(len(words), 1)))
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, found
 
 
+def _starts(words: list) -> list[int]:
+    """Where each of the joined words begins."""
+    return [0, *itertools.accumulate(len(w) + 1 for w in words)][:-1]
+
+
 _scanner: list[Scanner] = []
 
 
