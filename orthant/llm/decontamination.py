@@ -14,10 +14,13 @@ Windows need `SOLID` words that are no placeholders. So that windows of numbers,
 every window is also searched for as it stands: words without placeholders, and numbers of the same value. These exact
 windows count with the others, and by themselves; a diagonal of them covers an item if it has all of its windows.
 
-An item of fewer than WINDOW words is searched as one window of its length, one of a single word thus by that word.
+An item of fewer than WINDOW words is searched as one window of its length, one of a single word thus by that word. A
+passage of a longer item counts from WINDOW + RUN - 1 canonical words on; shorter ones are taken for chance.
 
-Defined cases: null and empty texts and those without a letter or digit match nothing; repeated rows of documents count once; null ids are reported
-as null; an empty table gives an empty result; further columns are ignored (in the stage they pass through).
+Defined cases: null and empty texts and those without a letter or digit match nothing; repeated rows of documents count
+once; null ids are reported as null, and the stage drops their contaminated rows as well, as it knows rows by id and text;
+of items alike the least id is reported; an empty table gives an empty result; further columns are ignored (in the
+stage they pass through, whatever their names).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARRAY_BYTES, POWERS, ByteWords, materialize, mix, slices, table, utf8_list
+from .common import ARRAY_BYTES, POWERS, ByteWords, fresh, materialize, mix, slices, table, utf8_list
 
 WINDOW = 8
 RUN = 6
@@ -146,7 +149,7 @@ def _unit_hashes() -> np.ndarray:
 
 _units: list[np.ndarray] = []
 _item_schema = "item_id long, n_windows int, n_typed int, width int, item_kind int, item_pos int, h long, item_slots array<string>"
-_hit_schema = "doc_id long, kind int, pos int, h long, slots array<string>"
+_hit_schema = "doc_id long, mark long, kind int, pos int, h long, slots array<string>"
 
 
 def _item_windows(batches):
@@ -177,7 +180,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows_hit, n_windows, shift: diagonals that show a contamination."""
+    """doc_id, mark, item_id, n_windows_hit, n_windows, shift: diagonals that show a contamination; mark is the text's hash."""
     windows = materialize(items.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows, _item_schema), "items")
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # WINDOW values at most
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))  # 2 MB whatever the tables
@@ -194,21 +197,22 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                     rows += [(int(canon.doc[i]), kind, int(canon.place[i]), int(x), canon.slots(kind, int(i), width, int(b))) for i, x, b in zip(at[seen], h[seen].view(np.int64), names[seen])]
             if rows:
                 doc, kind, pos, h, slots = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(kind, pa.int32()), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "kind", "pos", "h", "slots"])
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("mark").take(at), pa.array(kind, pa.int32()), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "mark", "kind", "pos", "h", "slots"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hits, _hit_schema).join(windows, "h").filter((F.col("kind") != EXACT) | (F.col("slots") == F.col("item_slots")))
+    found = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(hits, _hit_schema).join(windows, "h").filter((F.col("kind") != EXACT) | (F.col("slots") == F.col("item_slots")))
     pairs = F.expr("transform(arrays_zip(item_slots, slots), p -> struct(p.item_slots AS item, p.slots AS doc))")
     kind = F.greatest("kind", "item_kind")
     sets = {"plain": kind == PLAIN, "typed": kind != EXACT, "exact": kind == EXACT}
     places = [F.size(F.collect_set(F.when(which, F.col("item_pos")))).alias(f"n_{name}_hit") for name, which in sets.items()]
     values = [F.array_distinct(F.flatten(F.collect_set(F.when(sets[name], pairs)))).alias(f"{name}_pairs") for name in ("plain", "typed")]
-    diagonals = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    diagonals = found.groupBy("doc_id", "mark", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.size(F.collect_set("item_pos")).alias("n_windows_hit"), F.max("n_windows").alias("n_windows"), F.max("n_typed").alias("n_typed"), *places, *values
     )
     plain, typed = (F.expr(f"size({c}) = size(array_distinct(transform({c}, p -> p.item)))") for c in ("plain_pairs", "typed_pairs"))  # consistent
     enough = lambda n, of: (F.col(n) > 0) & (F.col(n) >= F.least(F.col(of), F.lit(RUN)))
     shown = (enough("n_plain_hit", "n_typed") & plain) | ((enough("n_typed_hit", "n_typed") | enough("n_windows_hit", "n_windows")) & typed) | enough("n_exact_hit", "n_windows")
-    return diagonals.filter(shown).select("doc_id", "item_id", "shift", "n_windows_hit", "n_windows")
+    return diagonals.filter(shown).select("doc_id", "mark", "item_id", "shift", "n_windows_hit", "n_windows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -217,9 +221,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows with a null id stay."""
-    gone = contaminated(docs, items).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the rows whose text is contaminated; a row is known by its id, which may be null, and its text."""
+    gone = matches(docs, items).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    (mark,) = fresh(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    left = marked.join(gone, marked["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (marked[mark] == gone["gone_mark"]), "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
