@@ -6,9 +6,10 @@ conversation whose last prefix hash is an inner prefix hash of another one is dr
 conversations that are alike throughout the one of the least id stays. The others are rendered, a row for each
 `BLOCK` turns, so that no row grows with the longest conversation (most have one row).
 
-Only DataFrame functions are used. Places within a conversation come from two levels (within blocks of the turn
-number, then over blocks), so a conversation that holds much of the table isn't sorted in one task; prefix hashes
-are made distinct with partial aggregation before the anti-join, so a common opening isn't a hot key.
+Only DataFrame functions are used. Turns are dealt out by ranges, and places within a conversation come from two levels
+(within its part of a range, then over its parts), so neither a conversation that holds much of the table nor one whose
+turns all have one number is sorted in one task; prefix hashes are made distinct with partial aggregation before the
+anti-join, so a common opening isn't a hot key; very long conversations meet their verdict in a broadcast join.
 
 Defined cases: repeated rows count once; turns of the same number are ordered by role and text; a null turn comes
 before the others; a null role is rendered as "user" and a null text as empty, and both are compared as such; rows
@@ -21,40 +22,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import materialize, skew_join, table
 
 BLOCK = 256
 #: ChatML markers.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _running(rows: DataFrame, order: list, values: dict) -> DataFrame:
-    """Running sums over a conversation: within (conv_id, part), plus the sums of its earlier parts."""
+def _running(rows: DataFrame, order: list, values: dict, totals: tuple[str, ...] = ()) -> DataFrame:
+    """Running sums over a conversation: within (conv_id, part), plus the sums of its earlier parts; n_<value>: the whole sum of those in totals."""
     inner = Window.partitionBy("conv_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     within = rows.select("*", *(F.sum(v).over(inner).alias(f"in_{n}") for n, v in values.items()))
     parts = rows.groupBy("conv_id", "part").agg(*(F.sum(v).alias(f"sum_{n}") for n, v in values.items()))
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("conv_id", "part", *(F.coalesce(F.sum(f"sum_{n}").over(earlier), F.lit(0)).alias(f"base_{n}") for n in values))
+    conversation = Window.partitionBy("conv_id")
+    earlier = conversation.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (F.coalesce(F.sum(f"sum_{n}").over(earlier), F.lit(0)).alias(f"base_{n}") for n in values)
+    bases = parts.select("conv_id", "part", *sums, *(F.sum(f"sum_{n}").over(conversation).alias(f"n_{n}") for n in totals))
     joined = within.join(bases, ["conv_id", "part"])
-    return joined.select(*rows.columns, *((F.col(f"in_{n}") + F.col(f"base_{n}")).alias(n) for n in values))
+    return joined.select(*rows.columns, *((F.col(f"in_{n}") + F.col(f"base_{n}")).alias(n) for n in values), *(f"n_{n}" for n in totals))
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, turn, role, text, place (from 1), h1, h2: distinct turns with their rolling prefix hashes."""
+    """conv_id, part, turn, role, text, place (from 1), n_place, h1, h2: distinct turns with their rolling prefix hashes.
+
+    The distinct turns are dealt out by ranges of (conversation, turn, role, text), and a part is what one range has of a
+    conversation; it is written down, so parts stay as they are whatever executors are lost.
+    """
+    spark = conversations.sparkSession
     plain = conversations.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = plain.distinct().withColumn("part", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    placed = _running(rows, order, {"place": F.lit(1)})
+    rows = materialize(plain.distinct(), "turns")
+    ranges = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("conv_id"), *order)
+    parted = materialize(ranges.withColumn("part", F.spark_partition_id()), "parts")
+    placed = _running(parted, order, {"place": F.lit(1)}, ("place",))
     digest = lambda salt: F.xxhash64(F.lit(salt), "place", "role", "text").cast("decimal(20,0)")
     return _running(placed, ["place"], {"h1": digest(1), "h2": digest(2)})
 
 
 def maximal(placed: DataFrame) -> DataFrame:
     """conv_id, n_turns of the conversations that no longer one begins with; one of those that are alike."""
-    sizes = placed.groupBy("conv_id").agg(F.max("place").alias("n_turns"))
-    marked = placed.select("conv_id", "place", "h1", "h2").join(sizes, "conv_id")
+    marked = placed.select("conv_id", "place", F.col("n_place").alias("n_turns"), "h1", "h2")
     whole = marked.filter("place = n_turns").groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     inner = marked.filter("place < n_turns").select("place", "h1", "h2").distinct()
     return whole.join(inner, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").alias("n_turns"))
@@ -63,14 +72,15 @@ def maximal(placed: DataFrame) -> DataFrame:
 def render(placed: DataFrame, kept: DataFrame) -> DataFrame:
     """conv_id, block, n_turns, first_turn, text: the kept conversations in ChatML, BLOCK turns a row."""
     one = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
-    pieces = placed.select("conv_id", "place", one.alias("piece")).join(kept, "conv_id").withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
+    pieces = skew_join(placed.select("conv_id", "place", one.alias("piece")), kept, ["conv_id"], "n_turns", placed.count())
+    pieces = pieces.withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
     rows = pieces.groupBy("conv_id", "block").agg(F.max("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("x"))
     return rows.select("conv_id", "block", "n_turns", F.col("x")[0]["place"].alias("first_turn"), F.array_join("x.piece", "").alias("text"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    placed = materialize(turns(conversations), "turns")
-    return render(placed, maximal(placed))
+    placed = materialize(turns(conversations), "placed")
+    return render(placed, materialize(maximal(placed), "maximal"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
