@@ -109,8 +109,8 @@ def recurring(keys: DataFrame, min_docs: int, min_general: int, min_short: int)
     return counted.filter((F.col("n") >= enough) & (F.col("last") > F.col("first"))).select("key", "first", "n")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3, min_short: int = 8) -> DataFrame:
-    """docs with recurring lines dropped, and n_lines_dropped appended (or replaced)."""
+def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3, min_short: int = 8, counted: bool = True) -> DataFrame:
+    """docs with recurring lines dropped, and if counted, n_lines_dropped appended (or replaced)."""
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     keys = materialize(plain.mapInArrow(_line_keys, _LINES), "lines")
     found = materialize(recurring(keys, min_docs, min_general, min_short), "templates")
@@ -119,7 +119,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3, min_sho
     hits = skew_join(each.select("d", "mark", F.col("x.keys").alias("key"), F.col("x.lines").alias("lines")), found, ["key"], "n", total).filter("d > first")
     at, mark, drop = fresh(docs, "d", "mark", "drop")
     drops = hits.groupBy(F.col("d").alias(at), F.col("mark").alias(mark)).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(drop))
-    names = [c for c in docs.columns if c != "n_lines_dropped"]
+    names = [c for c in docs.columns if c != "n_lines_dropped" or not counted]
     marked = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), mark: F.xxhash64("text")})
     joined = marked.join(drops, [at, mark], "left")
     # The text is split once: the lambda's variable holds its lines.
@@ -129,7 +129,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_general: int = 3, min_sho
     if "n_chars" in names:
         out["n_chars"] = F.when(changed, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     columns = [out[c].alias(c) if c in out else F.col(f"`{c}`") for c in names]
-    return joined.select(*columns, F.when(changed, F.size(F.col(f"`{drop}`"))).otherwise(0).alias("n_lines_dropped"))
+    dropped = F.when(changed, F.size(F.col(f"`{drop}`"))).otherwise(0).alias("n_lines_dropped")
+    return joined.select(*columns, dropped) if counted else joined.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
