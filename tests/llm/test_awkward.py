@@ -178,10 +178,10 @@ def test_hashes_of_long_words_and_lines_depend_on_the_order():
     b = bytes(swapped)
     words = common.ByteWords([a, b])
     assert len(set(words.hashes(words.data.astype("uint64")).tolist())) == 2
-    tokens = [f"w{i}" for i in range(1500)]
+    tokens = ["w" + "".join("abcdefghij"[int(c)] for c in str(i)) for i in range(1500)]
     other = tokens.copy()
     other[3], other[3 + 1024] = other[3 + 1024], other[3]
-    _, _, keys = line_dedup.template_keys([" ".join(x).replace("1", "l").encode() for x in (tokens, other)])
+    _, _, keys = line_dedup.template_keys([" ".join(x).encode() for x in (tokens, other)])
     assert keys[0] != keys[len(keys) // 2]
 
 
