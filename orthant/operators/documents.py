@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
 
 
-def relevance(docs: DataFrame, query: str, k: int, size: int = 500) -> DataFrame:
-    """doc, chunk_no, chunk, score of the k best chunks: chunk overlap plus 0.3 of the document's; both must be above 0."""
-    q = t.words(F.lit(query))
-    scored = docs.select("doc", "text", t.overlap(q, t.keywords(F.col("text"))).alias("of_doc")).filter("of_doc > 0")
-    each = scored.select("doc", "of_doc", F.posexplode(t.chunks(F.col("text"), size)).alias("chunk_no", "chunk"))
+# Style words that preference signals are read from.
+SIGNAL_TERMS = (
+    "anime", "realistic", "painterly", "cinematic", "wide", "close-up", "bold", "dark", "bright", "saturated", "desaturated", "detailed", "minimal", "dramatic", "soft", "hard", "warm", "cool",
+    "purple", "amber", "copper", "blue", "motion", "still", "crowds", "solo", "scale contrast", "geometric", "organic", "kubrick", "easley", "moebius", "studio khara", "concept art", "paperback",
+    "poster", "portrait", "landscape", "16:9", "3:2", "1:1", "high detail", "low detail", "sharp", "blurry",
+)
+
+
+def relevance(docs: DataFrame, query: str, k: int = 3, size: int = 300) -> DataFrame:
+    """doc, chunk_no, chunk (trimmed), score of the k best chunks: chunk overlap plus 0.3 of the document's; both must be above 0.
+
+    The document's keywords are found once, before the filter; ties go by document and place.
+    """
+    q = F.array(*map(F.lit, plain_words(query)))
+    marked = docs.select("doc", "text", t.overlap(q, t.keywords(F.col("text"))).alias("of_doc")).filter("of_doc > 0")
+    each = marked.select("doc", "of_doc", F.posexplode(t.chunks(F.col("text"), size)).alias("chunk_no", "chunk"))
     own = each.withColumn("own", t.overlap(q, t.words(F.col("chunk")))).filter("own > 0")
     score = F.round(F.col("own") + 0.3 * F.col("of_doc"), 9)
-    return own.select("doc", "chunk_no", "chunk", score.alias("score")).orderBy(F.desc("score"), "doc", "chunk_no").limit(k)
+    return own.select("doc", "chunk_no", F.trim("chunk", F.lit(" \t\n\r\x0b\f")).alias("chunk"), score.alias("score")).orderBy(F.desc("score"), "doc", "chunk_no").limit(k)
+
+
+def plain_words(text: str) -> list[str]:
+    return [w for w in re.split("[^a-zA-Z0-9']+", text.lower()) if w]
+
+
+def context(best: DataFrame, max_tokens: int = 400) -> str:
+    """The leading chunks of a relevance result (a few rows) that fit 4 * max_tokens characters, joined by spaces; the first that doesn't fit ends it."""
+    parts, used = [], 0
+    for row in best.orderBy(F.desc("score"), "doc", "chunk_no").select("chunk").collect():
+        if used + len(row["chunk"]) > 4 * max_tokens:
+            break
+        parts.append(row["chunk"])
+        used += len(row["chunk"])
+    return " ".join(parts)
+
+
+def ingest(spark: SparkSession, folder: str, index: DataFrame | None, now: Column | None = None) -> DataFrame:
+    """The index of a folder's text files: file_name, role, summary, keywords, indexed_utc, content.
+
+    Unchanged files keep their entries, unknown or changed ones are read and described anew, and entries of files that
+    are gone are left out. Nothing is read but what has changed.
+    """
+    names = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").load(folder).filter(F.lower("path").rlike(r"\.(txt|md)$"))
+    listed = files.select(names.alias("file_name"), F.col("modificationTime").alias("mtime"))
+    old = index if index is not None else spark.createDataFrame([], INDEX)
+    todo = stale(listed, old).select("file_name")
+    text = files.select(names.alias("file_name"), F.decode("content", F.lit("UTF-8")).alias("content")).join(todo, "file_name", "left_semi")
+    new = text.select("file_name", t.role(F.col("file_name")).alias("role"), F.substring("content", 1, 500).alias("summary"), t.keywords(F.col("content")).alias("keywords"), (now if now is not None else F.current_timestamp()).alias("indexed_utc"), "content")
+    return upsert(prune(old, listed), new, "file_name")
 
 
-def context(best: DataFrame, max_tokens: int) -> DataFrame:
-    """The leading chunks of a relevance result that fit 4 * max_tokens characters; the first that doesn't ends it."""
-    order = Window.orderBy(F.desc("score"), "doc", "chunk_no")
-    return best.withColumn("upto", F.sum(F.length("chunk")).over(order)).filter(F.col("upto") <= 4 * max_tokens)
+INDEX = "file_name string, role string, summary string, keywords array<string>, indexed_utc timestamp, content string"
 
 
 def stale(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -45,18 +86,41 @@ def preference_weights(signals: DataFrame, terms: list[str]) -> DataFrame:
     return signals.select(F.explode(found).alias("term"), (F.col("sign") * F.col("strength")).alias("w")).groupBy("term").agg(F.sum("w").alias("weight"))
 
 
-def adjust_prompt(prompt: str, weights: dict[str, float], signals: int) -> str:
-    """A prompt with up to three liked terms added and two disliked ones taken out, given three signals or more."""
-    import re
+def signal_weights(signals: DataFrame) -> DataFrame:
+    """term, weight over the fixed terms and the presets. signals: text, sign, strength, preset.
+
+    A preset other than "none" of a positive signal gains half its strength under `preset:<name>`.
+    """
+    presets = signals.filter("sign > 0 AND preset <> 'none'").select(F.concat(F.lit("preset:"), "preset").alias("term"), (F.col("strength") * 0.5).alias("w"))
+    return preference_weights(signals, list(SIGNAL_TERMS)).unionByName(presets.groupBy("term").agg(F.sum("w").alias("weight")))
+
 
+def top_preferences(weights: DataFrame, n: int = 5) -> DataFrame:
+    """side (like or dislike), place, term, weight: the n strongest of each side; presets are left out."""
+    plain = weights.filter(~F.col("term").startswith("preset:") & (F.col("weight") != 0))
+    sides = plain.withColumn("side", F.when(F.col("weight") > 0, "like").otherwise("dislike"))
+    place = F.row_number().over(Window.partitionBy("side").orderBy(F.desc(F.abs("weight")), "term"))
+    return sides.withColumn("place", place).filter(F.col("place") <= n).select("side", "place", "term", "weight")
+
+
+def suggested_preset(weights: DataFrame) -> DataFrame:
+    """preset: that of the largest weight above 0, or "none"."""
+    best = weights.filter(F.col("term").startswith("preset:") & (F.col("weight") > 0)).agg(F.min_by("term", F.struct(-F.col("weight"), F.col("term"))).alias("term"))
+    return best.select(F.coalesce(F.substring("term", 8, 1 << 20), F.lit("none")).alias("preset"))
+
+
+def adjust_prompt(prompt: str, weights: dict[str, float], signals: int) -> str:
+    """A prompt with up to three liked terms added and two disliked ones taken out, given three signals or more; presets are no terms."""
     if signals < 3:
         return prompt
-    liked = [w for w, x in sorted(weights.items(), key=lambda i: (-i[1], i[0])) if x > 1.5 and w.lower() not in prompt.lower()][:3]
-    hated = [w for w, x in sorted(weights.items(), key=lambda i: (i[1], i[0])) if x < -1.5 and w.lower() in prompt.lower()][:2]
+    terms = [(w, x) for w, x in weights.items() if not w.startswith("preset:")]
+    liked = [w for w, x in sorted(terms, key=lambda i: (-i[1], i[0])) if x > 1.5 and w.lower() not in prompt.lower()][:3]
+    hated = [w for w, x in sorted(terms, key=lambda i: (i[1], i[0])) if x < -1.5 and w.lower() in prompt.lower()][:2]
+    changed = ", ".join([prompt, *liked])
     for w in hated:
-        prompt = re.sub(re.escape(w), "", prompt, flags=re.I)
-    prompt = ", ".join([prompt, *liked])
-    return re.sub(r"(,\s*)+", ", ", re.sub(r" {2,}", " ", prompt)).strip(" ,")
+        changed = re.sub(re.escape(w), "", changed, flags=re.I).strip()
+    changed = re.sub(r",\s*,", ",", changed)
+    return re.sub(r"\s{2,}", " ", changed).strip().rstrip(",")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -74,18 +138,33 @@ def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def prompts(lines: DataFrame) -> DataFrame:
-    """number, title, series, body of the prompts in a file's lines (n, line).
+    """file, number, title, series, scene, style, lora, lora_weight, body of the prompts in files' lines (file, n, line).
 
-    A line `SERIES name:` heads a series, `PROMPT nn - "title"` a prompt; a prompt belongs to the nearest series
-    above it, and its body ends at the next header or at `PRODUCTION NOTES`.
+    A line `SERIES word: name` heads a series, `PROMPT nn - "title"` a prompt; a prompt belongs to the nearest series
+    above it, and its body ends at the next header or at `PRODUCTION NOTES`. A line `LORA: name:weight` is taken out of
+    the body. The last of several paragraphs is the style, the others are the scene. Each file is handled by itself.
     """
-    series = F.regexp_extract("line", r"^\s*SERIES\s+(.*?):", 1)
-    number = F.regexp_extract("line", r'^\s*PROMPT\s+(\d+)\s*[—–-]+\s*"([^"]*)"', 1)
-    title = F.regexp_extract("line", r'^\s*PROMPT\s+(\d+)\s*[—–-]+\s*"([^"]*)"', 2)
-    order = Window.orderBy("n")
-    ends = F.col("line").rlike(r"^\s*(SERIES\s|PRODUCTION NOTES)")
-    rows = lines.withColumn("number", F.when(number != "", number.cast("int"))).withColumn("title", F.when(number != "", title)).withColumn("own", F.when(series != "", series))
+    dash = r"\p{Pd}"
+    series = F.regexp_extract("line", r"^SERIES\s+\w+:\s+(.+)$", 1)
+    head = rf'PROMPT\s+(\d+)\s*{dash}\s*"([^"]+)"'
+    number, title = F.regexp_extract("line", head, 1), F.regexp_extract("line", head, 2)
+    order = Window.partitionBy("file").orderBy("n")
+    ends = F.col("line").contains("SERIES ") | F.col("line").contains("PRODUCTION NOTES")
+    rows = lines.withColumn("number", F.when(number != "", number.cast("int"))).withColumn("title", F.when(title != "", F.trim(title))).withColumn("own", F.when(series != "", F.trim(series)))
     rows = rows.withColumn("series", F.last("own", True).over(order)).withColumn("block", F.sum((F.col("number").isNotNull() | ends).cast("int")).over(order)).withColumn("ends", ends)
-    heads = rows.filter("number IS NOT NULL").select("block", "number", "title", "series")
-    body = rows.filter("number IS NULL AND NOT ends").groupBy("block").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("body"))
-    return heads.join(body, "block", "left").select("number", "title", "series", F.coalesce("body", F.lit("")).alias("body"))
+    heads = rows.filter("number IS NOT NULL").select("file", "block", "number", "title", "series")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    body = rows.filter("number IS NULL AND NOT ends").groupBy("file", "block").agg(text.alias("body"))
+    blank = F.lit(" \t\n\r\x0b\f")
+    lora = r"(?im)^LORA:\s*(.+?)(?::(\d+(?:\.\d+)?))?\s*$"
+    both = heads.join(body, ["file", "block"], "left").withColumn("body", F.trim(F.coalesce("body", F.lit("")), blank))
+    both = both.withColumn("lora", F.nullif(F.trim(F.regexp_extract("body", lora, 1)), F.lit(""))).withColumn("weight", F.regexp_extract("body", lora, 2))
+    both = both.withColumn("lora_weight", F.when(F.col("weight") != "", F.col("weight").cast("double")).otherwise(0.8))
+    cut = F.regexp_replace("body", r"(?im)\s*^LORA:[^\n]*\s*", "\n\n")
+    both = both.withColumn("body", F.trim(F.when(F.col("lora").isNotNull(), cut).otherwise(F.col("body")), blank))
+    parts = F.filter(F.transform(F.split("body", t.BREAK), lambda p: F.trim(p, blank)), lambda p: p != "")
+    both = both.withColumn("parts", parts)
+    several = F.size("parts") >= 2
+    scene = F.when(several, F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(1))), "\n\n")).otherwise(F.col("body"))
+    style = F.when(several, F.element_at("parts", -1)).otherwise("")
+    return both.select("file", "number", "title", F.coalesce("series", F.lit("")).alias("series"), scene.alias("scene"), style.alias("style"), "lora", "lora_weight", "body")

@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import signal
-from ..functions import text as t
 from ..operators import documents, motion, spatial, vectors
 from ..streaming import ticks
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import reports, texts  # noqa: F401  their queries are registered with these
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 CENTER, RADIUS = (5000, 300, 5), 400
-TERMS = ("the", "and", "queue", "sch", "tion", "des", "idiot", "trash", "ing", "moron")
-PHRASE = "the and thing tionor erhe licensed apache version public"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return register
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -329,84 +311,6 @@ def colour_keys(spark, d):
     return dense(spark, d).select("id", F.round(hue, 6).alias("hue"), F.round(F.least(vectors.norm(F.col("vec")) / 10, F.lit(1.0)), 5).alias("magnitude"))
 
 
-# Texts.
-WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^a-zA-Z0-9'']+'), lambda w: w <> '')"
-STOP = "[" + ", ".join(f"'{w}'" for w in t.STOP_WORDS) + "]"
-KEYS = f"w AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w, generate_subscripts({WORDS.format('text')}, 1) AS i FROM documents), k0 AS (SELECT doc_id, w, min(i) AS i FROM w WHERE length(w) >= 3 AND NOT list_contains({STOP}, w) GROUP BY 1, 2), k AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM k0)"
-
-
-@query(f"WITH {KEYS} SELECT doc_id, w AS keyword, r AS place FROM k WHERE r <= 200")
-def keywords(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(t.keywords(F.col("text"))).alias("place", "keyword")).select("doc_id", "keyword", (F.col("place") + 1).cast("long").alias("place"))
-
-
-@query(f"WITH {KEYS}, q AS (SELECT unnest(string_split('{PHRASE}', ' ')) AS w) SELECT d.doc_id, round((SELECT count(*) FROM q JOIN k USING (w) WHERE k.doc_id = d.doc_id AND r <= 200) / {len(PHRASE.split())}, 9) AS overlap FROM documents d")
-def keyword_overlap(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(t.overlap(t.words(F.lit(PHRASE)), t.keywords(F.col("text"))), 9).alias("overlap"))
-
-
-@query(f"SELECT doc_id, substr(text, 1, 1) AS first, length(text) > 500 AS cut, CAST(len({WORDS.format('text')}) AS INT) AS n_words FROM documents")
-def tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 1).alias("first"), (F.length("text") > 500).alias("cut"), F.size(t.words(F.col("text"))).alias("n_words"))
-
-
-@query("""WITH RECURSIVE pz AS (SELECT doc_id, text, list_filter(string_split(replace(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10), chr(1)), chr(1)), lambda x: trim(x) <> '') AS p FROM documents),
-s AS (SELECT doc_id, text, p, 1 AS i, 0 AS chunk, CAST(0 AS BIGINT) AS used FROM pz WHERE length(replace(text, '. ', '.' || chr(10) || chr(10))) > 400
-UNION ALL SELECT doc_id, text, p, i + 1, CASE WHEN i = 1 OR used + length(p[i]) <= 400 THEN chunk ELSE chunk + 1 END, CASE WHEN i = 1 THEN length(p[1]) WHEN used + length(p[i]) <= 400 THEN used + 2 + length(p[i]) ELSE length(p[i]) END FROM s WHERE i <= len(p))
-SELECT doc_id, CAST(max(chunk) + 1 AS INT) AS chunks FROM s GROUP BY doc_id UNION ALL SELECT doc_id, 1 FROM pz WHERE length(replace(text, '. ', '.' || chr(10) || chr(10))) <= 400""")
-def chunk_counts(spark, d):
-    split = F.replace("text", F.lit(". "), F.lit(".\n\n"))
-    return table(spark, d, "documents").select("doc_id", F.size(t.chunks(split, 400)).alias("chunks"))
-
-
-def names(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("_"), F.when(F.col("doc_id") % 5 == 0, "Plot: outline").when(F.col("doc_id") % 5 == 1, "character?").when(F.col("doc_id") % 5 == 2, "world|map").otherwise("notes"), F.lit(".txt")).alias("name"))
-
-
-NAME = "source || '_' || CASE doc_id % 5 WHEN 0 THEN 'Plot: outline' WHEN 1 THEN 'character?' WHEN 2 THEN 'world|map' ELSE 'notes' END || '.txt'"
-
-
-@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'plot' WHEN 1 THEN 'characters' WHEN 2 THEN 'world' ELSE 'reference' END AS role, replace(replace(replace({NAME}, ':', '_'), '?', '_'), '|', '_') AS safe FROM documents")
-def roles_and_names(spark, d):
-    return names(spark, d).select("doc_id", t.role(F.col("name")).alias("role"), t.safe_name(F.col("name")).alias("safe"))
-
-
-@query(f"""WITH {KEYS}, q AS (SELECT unnest(string_split('{PHRASE}', ' ')) AS w), o AS (SELECT doc_id, count(*) / {len(PHRASE.split())} AS of_doc FROM q JOIN k USING (w) WHERE r <= 200 GROUP BY 1),
-c AS (SELECT o.doc_id, of_doc, (SELECT count(*) FROM q WHERE list_contains({WORDS.format('text')}, q.w)) / {len(PHRASE.split())} AS own FROM o JOIN documents USING (doc_id))
-SELECT doc_id AS doc, CAST(0 AS INT) AS chunk_no, round(own + 0.3 * of_doc, 9) AS score FROM c ORDER BY round(own + 0.3 * of_doc, 9) DESC, doc_id LIMIT 10""")
-def relevance(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return documents.relevance(docs, PHRASE, 10, size=1 << 30).select("doc", "chunk_no", "score")
-
-
-@query(f"""WITH RECURSIVE {KEYS}, q AS (SELECT unnest(string_split('{PHRASE}', ' ')) AS w), o AS (SELECT doc_id, count(*) / {len(PHRASE.split())} AS of_doc FROM q JOIN k USING (w) WHERE r <= 200 GROUP BY 1),
-pz AS (SELECT doc_id, of_doc, CASE WHEN length(text) <= 500 THEN [text] ELSE list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x) <> '') END AS p FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents) JOIN o USING (doc_id)),
-s AS (SELECT doc_id, of_doc, p, 1 AS i, 0 AS chunk, CAST(length(p[1]) AS BIGINT) AS used FROM pz WHERE len(p) > 0
-UNION ALL SELECT doc_id, of_doc, p, i + 1, CASE WHEN used + length(p[i + 1]) <= 500 THEN chunk ELSE chunk + 1 END, CASE WHEN used + length(p[i + 1]) <= 500 THEN used + 2 + length(p[i + 1]) ELSE length(p[i + 1]) END FROM s WHERE i < len(p)),
-h AS (SELECT DISTINCT doc_id, of_doc, chunk, unnest({WORDS.format('p[i]')}) AS w FROM s),
-c AS (SELECT doc_id, chunk, round(count(*) / {len(PHRASE.split())} + 0.3 * any_value(of_doc), 9) AS score FROM h JOIN q USING (w) GROUP BY 1, 2)
-SELECT doc_id AS doc, CAST(chunk AS INT) AS chunk_no, score FROM c ORDER BY score DESC, doc_id, chunk LIMIT 50""")
-def chunk_relevance(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))  # the tables have no paragraphs
-    return documents.relevance(docs, PHRASE, 50).select("doc", "chunk_no", "score")
-
-
-HASH_SEP = "[" + "".join("\\" + c if c in "[]\\^-&~" else ("''" if c == "'" else c) for c in t.SEPARATORS) + "]+"
-
-
-@query(f"""WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '{HASH_SEP}'), lambda w: w <> '')) AS w FROM benchmark),
-h AS (SELECT item_id, list_reduce(list_prepend(CAST(5381 AS BIGINT), [CAST(unicode(c) AS BIGINT) for c in string_split(w, '')]), lambda a, x: xor(a * 33, x) & 4294967295) AS h FROM w)
-SELECT item_id, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 128 AS INT) AS d, count(*) AS v FROM h GROUP BY 1, 2""")
-def hash_embedding(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.explode(t.hash_embedding(F.col("text"), 128)).alias("x")).select("item_id", "x.d", "x.v")
-
-
-@query("WITH s AS (SELECT lower(text) AS text, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS w FROM labels JOIN documents USING (doc_id)), t AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in TERMS) + "]) AS term) SELECT term, CAST(sum(w) AS DOUBLE) AS weight FROM s JOIN t ON contains(text, term) GROUP BY term")
-def preference_weights(spark, d):
-    s = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("text", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("sign"), F.lit(1.0).alias("strength"))
-    return documents.preference_weights(s, list(TERMS))
-
-
 # Catalog, events, signals.
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM r WHERE k = 1")
 def latest_by_key(spark, d):
