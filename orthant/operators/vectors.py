@@ -5,10 +5,14 @@ Distances are exact: integers in DECIMAL(38). Every top-k is ordered by (distanc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import index
+
 SCALE = 1_000_000_000
 
 
@@ -66,24 +70,25 @@ METRICS = {"l2": l2, "l1": l1}
 def pair_distances(queries: DataFrame, corpus: DataFrame, dims: int, metric: str = "l2") -> DataFrame:
     """(q, id, dist) of all queries against all rows of the corpus; both have id and e.
 
-    A stated query set against the corpus: exact search has to look at each pair. The side Spark knows to be
-    small is broadcast by its own size check.
+    The plain definition, for small tables and as the truth of a recall report; knn and radius go by the index.
     """
     q = queries.select(F.col("id").alias("q"), dense(F.col("e"), dims).alias("qv"))
     c = corpus.select("id", dense(F.col("e"), dims).alias("cv"))
     return c.join(q, F.lit(True)).select("q", "id", METRICS[metric](F.col("qv"), F.col("cv")).alias("dist"))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, dims: int, metric: str = "l2") -> DataFrame:
-    """(q, rank, id, dist): the k nearest, by distance and id; nothing for k of 0 or less."""
-    order = Window.partitionBy("q").orderBy("dist", "id")
-    found = pair_distances(queries, corpus, dims, metric).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k, 0))
-    return found.select("q", "rank", "id", "dist")
+def knn(queries: DataFrame, corpus: DataFrame | index.Index, k: int, dims: int, metric: str = "l2") -> DataFrame:
+    """(q, rank, id, dist): the k nearest, by distance and id; nothing for k of 0 or less. A corpus may be indexed beforehand."""
+    return index.knn(_indexed(corpus, dims), queries, k, metric)
+
 
+def radius(queries: DataFrame, corpus: DataFrame | index.Index, most: int, dims: int, metric: str = "l2") -> DataFrame:
+    """Pairs (q, id, dist) within a distance (L2: squared), inclusive."""
+    return index.radius(_indexed(corpus, dims), queries, most, metric)
 
-def radius(queries: DataFrame, corpus: DataFrame, most, dims: int, metric: str = "l2") -> DataFrame:
-    """Pairs within a distance (L2: squared), inclusive."""
-    return pair_distances(queries, corpus, dims, metric).filter(F.col("dist") <= F.lit(most).cast("decimal(38,0)"))
+
+def _indexed(corpus: DataFrame | index.Index, dims: int) -> index.Index:
+    return corpus if isinstance(corpus, index.Index) else index.build(corpus, dims)
 
 
 def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -174,16 +179,200 @@ def analogy(df: DataFrame, a: Column, b: Column, most: int = 20) -> DataFrame:
 
 def retrieve_and_rescore(queries: DataFrame, corpus: DataFrame, k: int, dims: int) -> DataFrame:
     """q, rank, id, score: k nearest by quantised L2, then ordered by exact dot product. Both have id, vec and e."""
-    near = knn(queries, corpus, k, dims).select("q", "id")
+    near = knn(queries, corpus.select("id", "e"), k, dims).select("q", "id")
     both = near.join(corpus.select("id", "vec"), "id").join(queries.select(F.col("id").alias("q"), F.col("vec").alias("qvec")), "q")
     scored = both.withColumn("score", dot(F.col("vec"), F.col("qvec")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id"))).select("q", "rank", "id", "score")
 
 
-def movement(df: DataFrame, order: str) -> DataFrame:
-    """L2 distance of each state to the one before, by one global order: meant for a single trace."""
-    before = F.lag("vec").over(Window.orderBy(order))
-    return df.withColumn("before", before).filter("before IS NOT NULL").select(order, norm(F.zip_with("vec", "before", lambda x, y: x.cast("double") - y.cast("double"))).alias("moved"))
+def movement(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, order, moved: L2 distance of each state of a trace to the one before; a trace is the rows of equal keys."""
+    before = F.lag("vec").over(Window.partitionBy(*keys).orderBy(order))
+    rows = df.withColumn("before", before).filter("before IS NOT NULL")
+    return rows.select(*keys, order, norm(F.zip_with("vec", "before", lambda x, y: x.cast("double") - y.cast("double"))).alias("moved"))
+
+
+def cosines(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """decile, n, total, least, most of the cosines of all queries with all other rows; both have id and vec.
+
+    The decile is that of the cosine rounded to 9 places, cut towards zero, from -9 to 9. Every pair counts, so blocks of
+    queries meet blocks of rows, and each pair of blocks yields its histogram.
+    """
+
+    def unit(table: pa.Table) -> np.ndarray:
+        x = np.stack(table.column("vec").to_numpy()).astype(np.float64)
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    def compare(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asking.num_rows or not rows.num_rows:
+            return pa.table({"decile": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "least": pa.array([], pa.float64()), "most": pa.array([], pa.float64())})
+        c = np.round(unit(asking) @ unit(rows).T, 9)
+        other = asking.column("id").to_numpy()[:, None] != rows.column("id").to_numpy()[None, :]
+        c = c[other]
+        decile = np.clip(np.trunc(c * 10), -9, 9).astype(np.int32)
+        kinds, where = np.unique(decile, return_inverse=True)
+        each = [c[where == i] for i in range(len(kinds))]
+        return pa.table({"decile": kinds, "n": pa.array([len(x) for x in each], pa.int64()), "total": [float(x.sum()) for x in each], "least": [float(x.min()) for x in each], "most": [float(x.max()) for x in each]})
+
+    found = index.pairs(queries.select("id", "vec"), corpus.select("id", "vec"), compare, "decile int, n long, total double, least double, most double")
+    return found.groupBy("decile").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def cosine_summary(histogram: DataFrame) -> DataFrame:
+    """mean, least, most and pairs of a histogram of cosines."""
+    return histogram.agg((F.sum("total") / F.sum("n")).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("pairs"))
+
+
+def separation(pairs: DataFrame, dims: int) -> DataFrame:
+    """similar, dissimilar, ratio, wins, pairs: mean squared distances of paired entries a-b and c-d, and how often the first is the smaller."""
+    d = lambda x, y: l2(dense(F.col(x), dims), dense(F.col(y), dims))
+    both = pairs.select(d("a", "b").alias("near"), d("c", "d").alias("far"))
+    mean = lambda c: F.sum(c).cast("double") / F.count("*")
+    out = both.agg(mean("near").alias("similar"), mean("far").alias("dissimilar"), F.sum((F.col("near") < F.col("far")).cast("long")).alias("wins"), F.count("*").alias("pairs"))
+    return out.select("similar", "dissimilar", F.when(F.col("similar") > 0, F.col("dissimilar") / F.col("similar")).otherwise(0.0).alias("ratio"), "wins", "pairs")
+
+
+def identity_report(vecs: DataFrame, queries: Column, k: int, dims: int, settings: list[tuple[float, int | None]]) -> DataFrame:
+    """zero, budget, corpus, mean_nnz, realized, confidence, least, most: recall of the index, in per cent, for each (zero threshold, sparsity budget).
+
+    vecs: id, vec. The truth is a comparison of the chosen queries with all rows.
+    """
+    out = None
+    for zero, budget in settings:
+        rows = vecs.select("id", quantize(F.col("vec"), zero=zero, budget=budget).alias("e"))
+        asked = rows.filter(queries)
+        order = Window.partitionBy("q").orderBy("dist", "id")
+        truth = pair_distances(asked, rows, dims).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        hits = recall_report(recall(truth, knn(asked, rows, k, dims), k))
+        sizes = rows.agg(F.count("*").alias("corpus"), F.avg(F.size("e")).alias("mean_nnz"))
+        seen = rows.select(F.explode("e").alias("x")).agg(F.count_distinct("x.d").alias("realized"))
+        one = sizes.join(seen, F.lit(True)).join(hits, F.lit(True)).select(
+            F.lit(zero).cast("double").alias("zero"), F.lit(budget).cast("int").alias("budget"), "corpus", "mean_nnz", "realized", *((F.col(a) * 100).alias(b) for a, b in (("mean", "confidence"), ("least", "least"), ("most", "most")))
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def top_variance_dims(variances: DataFrame, n: int = 3) -> DataFrame:
+    """d, variance of the n dimensions of the largest variance, largest first, ties to the smaller dimension."""
+    return variances.orderBy(F.desc("variance"), "d").limit(n)
+
+
+def argmax_dot(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """q, id, score: the row of the largest dot product with each query, the first of equals; both have id and vec."""
+    def compare(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asking.num_rows or not rows.num_rows:
+            return pa.table([asking.column("id").slice(0, 0), rows.column("id").slice(0, 0), pa.array([], pa.float64())], ["q", "id", "score"])
+        rows = rows.sort_by("id")
+        a, b = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (asking, rows))
+        score = np.round(a @ b.T, 9)
+        best = score.argmax(1)
+        return pa.table([asking.column("id"), rows.column("id").take(pa.array(best)), pa.array(score[np.arange(len(a)), best])], ["q", "id", "score"])
+
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    found = index.pairs(queries.select("id", "vec"), corpus.select("id", "vec"), compare, f"q {kind(queries)}, id {kind(corpus)}, score double")
+    best = found.groupBy("q").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("id"))).alias("b"))
+    return best.select("q", "b.id", "b.score")
+
+
+def hue(key: Column) -> Column:
+    """Golden-angle hue of a number, in degrees."""
+    return F.pmod(key.cast("decimal(20,0)") * F.lit(137.508).cast("decimal(9,3)"), F.lit(360)).cast("double")
+
+
+def magnitude_key(vec: Column) -> Column:
+    """Length over 10, at most 1."""
+    return F.least(norm(vec) / 10, F.lit(1.0))
+
+
+def letter_hue(label: Column) -> Column:
+    """Hue by the first character: letters around the circle, digits 60, others 0; null for an empty label."""
+    first = F.lower(F.substring(label, 1, 1))
+    return F.when(F.length(label) == 0, F.lit(None).cast("double")).when(first.rlike("^[a-z]$"), (F.ascii(first) - 97) * (360.0 / 26)).when(first.rlike("^[0-9]$"), 60.0).otherwise(0.0)
+
+
+def find_token(tokens: DataFrame, text: str) -> DataFrame:
+    """id, token of the first token that equals a text, or else of the first that contains it, in any case. tokens: id, token."""
+    asked = text.strip().lower()
+    lower = F.lower("token")
+    found = tokens.filter(F.contains(lower, F.lit(asked))) if asked else tokens.limit(0)
+    return found.orderBy((lower != asked).cast("int"), "id").limit(1).select("id", "token")
+
+
+def greedy_tokens(prompts: DataFrame, tokens: list[str], most: int = 50) -> DataFrame:
+    """prompts (id, text) with ids: the longest token at each place, in any case, with or without its leading space mark.
+
+    A token takes as many characters as it has, mark included; a place without a token is skipped, and reading ends
+    after more than `most` tokens. Of tokens alike the first counts.
+    """
+    plain: dict[int, dict[str, int]] = {}
+    for i, token in enumerate(tokens):
+        if token:
+            plain.setdefault(len(token), {}).setdefault(token.lower(), i)
+    sizes = sorted(plain, reverse=True)
+
+    def read(text: str) -> list[int]:
+        text, out, at = text.strip().lower(), [], 0
+        while at < len(text) and len(out) <= most:
+            size = next((n for n in sizes if text[at : at + n] in plain[n]), None) if at < len(text) else None
+            if size is None:
+                at += 1
+                continue
+            out.append(plain[size][text[at : at + size]])
+            at += size
+        return out
+
+    def rows(batches):
+        for batch in batches:
+            found = pa.array([read(x or "") for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "ids"])
+
+    return prompts.select("id", "text").mapInArrow(rows, f"id {prompts.schema['id'].dataType.simpleString()}, ids array<int>")
+
+
+# Dense integer vectors (arrays of bigint): exact algebra.
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def scale_up(a: Column, factor: Column) -> Column:
+    return F.transform(a, lambda x: x * factor)
+
+
+def scale_down(a: Column, divisor: Column) -> Column:
+    """Quotients cut towards zero."""
+    return F.transform(a, lambda x: ((x - F.when(x < 0, -F.pmod(-x, F.abs(divisor))).otherwise(F.pmod(x, F.abs(divisor)))) / divisor).cast("long"))
+
+
+def midpoints(a: Column, b: Column) -> Column:
+    """Floors of the means, without overflow."""
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y) + F.shiftright(x.bitwiseXOR(y), 1))
+
+
+def exact_dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: (x.cast("decimal(19,0)") * y.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    return F.aggregate(products, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+
+
+def sum_abs(a: Column) -> Column:
+    return F.aggregate(F.transform(a, F.abs), F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+
+
+def meets_hypersphere(low: Column, high: Column, center: Column, square: Column) -> Column:
+    """Whether a closed box meets a sphere of the given squared radius: the centre clamped to it is near enough."""
+    clamped = F.zip_with(F.zip_with(low, center, lambda a, c: F.greatest(a, c)), high, lambda c, b: F.least(c, b))
+    return l2(center, clamped) <= square
+
+
+def halves(low: Column, high: Column, d: int) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """The boxes below and from the middle of a dimension on."""
+    middle = F.zip_with(low, high, lambda x, y: x.bitwiseAND(y) + F.shiftright(x.bitwiseXOR(y), 1))
+    put = lambda into: F.transform(F.arrays_zip(into.alias("x"), middle.alias("m")), lambda z, i: F.when(i == d, z["m"]).otherwise(z["x"]))
+    return (low, put(high)), (put(low), high)
 
 
 def in_region(e: Column, low: dict[int, int], high: dict[int, int]) -> Column:

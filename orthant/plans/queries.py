@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import signal
-from ..operators import documents, motion, spatial, vectors
+from ..operators import documents, index, motion, spatial, vectors
 from ..streaming import ticks
 from . import reports, texts  # noqa: F401  their queries are registered with these
 from .registry import QUERIES, SQL, query, table  # noqa: F401
@@ -38,15 +38,9 @@ def range_join(spark, d):
     return spatial.range_join(q, points(spark, d), 150).select("qid", "guid", F.col("dist2").cast("long").alias("dist2"))
 
 
-@query(f"""WITH {P}, c AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz FROM p WHERE guid % 1000 = 11)
-SELECT qid, count(*) AS n FROM c JOIN p ON abs(x - qx) <= 200 AND {D2.format('qx', 'qy', 'qz')} <= 40000 GROUP BY qid""")
-def true_neighbors(spark, d):
-    return spatial.neighbors(points(spark, d), F.col("guid") % 1000 == 11, 200).groupBy("qid").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {P}, c AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz FROM p WHERE x % 100 = 0)
 SELECT qid, count(*) AS n FROM c JOIN p ON abs(x - qx) <= 200 AND {D2.format('qx', 'qy', 'qz')} <= 40000 GROUP BY qid""")
-def order_neighbors(spark, d):
+def true_neighbors(spark, d):
     return spatial.neighbors(points(spark, d), F.col("pos.x") % 100 == 0, 200).groupBy("qid").agg(F.count("*").alias("n"))
 
 
@@ -91,9 +85,9 @@ def tree_stats(spark, d):
     return out.withColumn("max_depth", F.col("max_depth").cast("int"))
 
 
-@query("WITH " + CELLS.format(16) + f", q AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz, cell FROM cells WHERE guid % 500 = 1) SELECT qid, guid, CAST({D2.format('qx', 'qy', 'qz')} AS BIGINT) AS dist2 FROM q JOIN cells USING (cell) WHERE {D2.format('qx', 'qy', 'qz')} <= 10000")
+@query("WITH " + CELLS.format(16) + f", q AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz, cell FROM cells WHERE x % 100 = 0) SELECT qid, guid, CAST({D2.format('qx', 'qy', 'qz')} AS BIGINT) AS dist2 FROM q JOIN cells USING (cell) WHERE {D2.format('qx', 'qy', 'qz')} <= 10000")
 def leaf_neighbors(spark, d):
-    return spatial.leaf_neighbors(spatial.assign_cells(points(spark, d)), F.col("guid") % 500 == 1, 100).select("qid", "guid", F.col("dist2").cast("long").alias("dist2"))
+    return spatial.leaf_neighbors(spatial.assign_cells(points(spark, d)), F.col("pos.x") % 100 == 0, 100).select("qid", "guid", F.col("dist2").cast("long").alias("dist2"))
 
 
 @query("WITH " + CELLS.format(16) + f", q AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz, cell FROM cells) SELECT qid, guid, CAST({D2.format('qx', 'qy', 'qz')} AS BIGINT) AS dist2 FROM q JOIN cells USING (cell) WHERE {D2.format('qx', 'qy', 'qz')} <= 10000")
@@ -182,10 +176,10 @@ def quantize_budget(spark, d):
     return sparse(spark, d, budget=8).select("id", F.explode("e").alias("x")).select("id", "x.d", "x.v")
 
 
-@query(f"WITH {FULL} SELECT id, round(sum(CAST(v AS DOUBLE) / 1000000000), 5) AS total, count(*) AS dims FROM f GROUP BY id")
+@query(f"WITH {FULL} SELECT id, CAST(d AS INT) AS d, round(CAST(CAST(v AS DOUBLE) / 1000000000 AS FLOAT), 6) AS x FROM f")
 def dequantize(spark, d):
-    back = sparse(spark, d).select("id", vectors.dequantize(F.col("e"), 64).alias("vec"))
-    return back.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"), F.size("vec").cast("long").alias("dims"))
+    back = sparse(spark, d).select("id", F.posexplode(vectors.dequantize(F.col("e"), 64)).alias("d", "x"))
+    return back.select("id", "d", F.round("x", 6).alias("x"))
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY l2, id) AS k FROM pd) SELECT q, k AS rank, id, CAST(l2 AS VARCHAR) AS dist FROM r WHERE k <= 5")
@@ -217,7 +211,8 @@ r AS (SELECT q, sum(CASE WHEN k2 <= 10 AND k1 <= 10 THEN 1 ELSE 0 END) / 10.0 AS
 SELECT round(avg(recall), 9) AS mean, round(min(recall), 9) AS least, round(max(recall), 9) AS most, count(*) AS queries FROM r""")
 def recall_report(spark, d):
     s = sparse(spark, d)
-    found = vectors.recall_report(vectors.recall(vectors.knn(stated(s), s, 10, 64), vectors.knn(stated(s), s, 10, 64, "l1"), 10))
+    built = index.build(s, 64)
+    found = vectors.recall_report(vectors.recall(vectors.knn(stated(s), built, 10, 64), vectors.knn(stated(s), built, 10, 64, "l1"), 10))
     return found.select(*(F.round(c, 9).alias(c) for c in ("mean", "least", "most")), "queries")
 
 
@@ -274,14 +269,20 @@ def analogy(spark, d):
     return vectors.analogy(dense(spark, d), F.col("id") == 3, F.col("id") == 11).withColumn("gap", F.round("gap", 6))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), c AS (SELECT list_sum([a.v[i] * b.v[i] for i in range(1, 65)]) / (sqrt(list_sum([x * x for x in a.v])) * sqrt(list_sum([x * x for x in b.v]))) AS cosine FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0)
-SELECT CAST(least(9, greatest(-9, trunc(round(cosine, 9) * 10))) AS INT) AS decile, count(*) AS n FROM c GROUP BY 1""")
+COSINES = """e AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), c AS (SELECT round(list_sum([a.v[i] * b.v[i] for i in range(1, 65)]) / (sqrt(list_sum([x * x for x in a.v])) * sqrt(list_sum([x * x for x in b.v]))), 9) AS cosine FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0)"""
+
+
+@query(f"WITH {COSINES} SELECT CAST(least(9, greatest(-9, trunc(cosine * 10))) AS INT) AS decile, count(*) AS n FROM c GROUP BY 1")
 def cosine_deciles(spark, d):
     e = dense(spark, d)
-    q = stated(e).select(F.col("id").alias("q"), F.col("vec").alias("qv"))
-    cosine = vectors.dot(F.col("vec"), F.col("qv")) / (vectors.norm(F.col("vec")) * vectors.norm(F.col("qv")))
-    decile = F.least(F.lit(9), F.greatest(F.lit(-9), (F.round(cosine, 9) * 10).cast("int")))
-    return e.join(q, F.col("id") != F.col("q")).groupBy(decile.alias("decile")).agg(F.count("*").alias("n"))
+    return vectors.cosines(stated(e), e).select("decile", "n")
+
+
+@query(f"WITH {COSINES} SELECT round(avg(cosine), 7) AS mean, round(min(cosine), 7) AS least, round(max(cosine), 7) AS most, count(*) AS pairs FROM c")
+def cosine_summary(spark, d):
+    e = dense(spark, d)
+    found = vectors.cosine_summary(vectors.cosines(stated(e), e))
+    return found.select(*(F.round(c, 7).alias(c) for c in ("mean", "least", "most")), "pairs")
 
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY l2, id) AS k FROM pd), t AS (SELECT q, r.id, list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) for i in range(1, 65)]) AS score FROM r JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = r.id WHERE k <= 8)
@@ -295,9 +296,8 @@ def retrieve_and_rescore(spark, d):
 @query("""WITH b AS (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
 SELECT vec_id, round(sqrt(list_sum([(CAST(embedding[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)) for i in range(1, 65)])), 9) AS moved FROM b WHERE p IS NOT NULL""")
 def step_movement(spark, d):
-    e = table(spark, d, "embeddings").withColumn("before", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("before IS NOT NULL")
-    moved = vectors.norm(F.zip_with("embedding", "before", lambda x, y: x.cast("double") - y.cast("double")))
-    return e.select("vec_id", F.round(moved, 9).alias("moved"))
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vec"))
+    return vectors.movement(e, ["label"], "vec_id").select("vec_id", F.round("moved", 9).alias("moved"))
 
 
 @query(f"WITH {FULL} SELECT id FROM f GROUP BY id HAVING max(CASE WHEN d = 0 THEN v END) BETWEEN -100000000 AND 100000000 AND max(CASE WHEN d = 5 THEN v END) BETWEEN 0 AND 300000000")
@@ -305,10 +305,13 @@ def in_region(spark, d):
     return sparse(spark, d).filter(vectors.in_region(F.col("e"), {0: -100_000_000, 5: 0}, {0: 100_000_000, 5: 300_000_000})).select("id")
 
 
-@query("SELECT vec_id AS id, round((vec_id * 137.508) % 360, 6) AS hue, round(least(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])) / 10, 1), 5) AS magnitude FROM embeddings")
+@query("""WITH e AS (SELECT vec_id AS id, embedding, CASE vec_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(CAST(65 + vec_id % 26 AS INT)) || 'x' WHEN 2 THEN CAST(vec_id AS VARCHAR) ELSE '#' END AS label FROM embeddings)
+SELECT id, round((id * 137.508) % 360, 6) AS hue, round(least(sqrt(list_sum([CAST(x AS DOUBLE) * x for x in embedding])) / 10, 1), 5) AS magnitude,
+round(CASE WHEN label = '' THEN NULL WHEN regexp_matches(label, '^[A-Z]') THEN (unicode(lower(label)) - 97) * (360.0 / 26) WHEN regexp_matches(label, '^[0-9]') THEN 60 ELSE 0 END, 6) AS letter FROM e""")
 def colour_keys(spark, d):
-    hue = F.pmod(F.col("id").cast("decimal(20,0)") * F.lit(137.508).cast("decimal(9,3)"), F.lit(360)).cast("double")
-    return dense(spark, d).select("id", F.round(hue, 6).alias("hue"), F.round(F.least(vectors.norm(F.col("vec")) / 10, F.lit(1.0)), 5).alias("magnitude"))
+    i = F.col("id")
+    label = F.when(i % 4 == 0, "").when(i % 4 == 1, F.concat(F.char((65 + i % 26).cast("int")), F.lit("x"))).when(i % 4 == 2, i.cast("string")).otherwise("#")
+    return dense(spark, d).select("id", F.round(vectors.hue(i), 6).alias("hue"), F.round(vectors.magnitude_key(F.col("vec")), 5).alias("magnitude"), F.round(vectors.letter_hue(label), 6).alias("letter"))
 
 
 # Catalog, events, signals.

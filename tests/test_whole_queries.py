@@ -37,5 +37,6 @@ def test_relevance_is_registered_with_chunks(spark):
 def test_neighbors_of_whole_orders_and_of_all_rows(spark):
     rows = queries.points(spark, str(TABLES)).select("guid", "pos.x").collect()
     whole = {r.guid for r in rows if r.x % 100 == 0}
-    assert whole and {r.qid for r in queries.QUERIES["order_neighbors"](spark, str(TABLES)).collect()} == whole
+    assert whole and {r.qid for r in queries.QUERIES["true_neighbors"](spark, str(TABLES)).collect()} == whole
+    assert whole == {r.qid for r in queries.QUERIES["leaf_neighbors"](spark, str(TABLES)).collect()}
     assert {r.qid for r in queries.QUERIES["all_leaf_neighbors"](spark, str(TABLES)).collect()} == {r.guid for r in rows}
