@@ -62,6 +62,22 @@ def midpoint(a: Column, b: Column) -> Column:
     return a.bitwiseAND(b) + F.shiftright(a.bitwiseXOR(b), 1)
 
 
+def child_bounds(low: Column, high: Column) -> Column:
+    """octant, low, high of the eight children of a box, in order of octant."""
+    mid = {a: midpoint(low[a], high[a]) for a in AXES}
+    children = []
+    for i in range(8):
+        upper = dict(zip(AXES, (i & 4, i & 2, i & 1)))
+        from_, to = (F.struct(*((mid[a] if bool(upper[a]) == near else end[a]).alias(a) for a in AXES)) for near, end in ((True, low), (False, high)))
+        children.append(F.struct(F.lit(i).alias("octant"), from_.alias("low"), to.alias("high")))
+    return F.array(*children)
+
+
+def distance_to(p: Column, q: Column) -> Column:
+    """Distance cut to a whole number."""
+    return F.sqrt(dist2(p, q).cast("double")).cast("int")
+
+
 def cell_axis(c: Column, depth) -> Column:
     """Number of the cell along an axis at a depth (root cube: depth 0, one cell)."""
     shift = F.lit(63) - (depth if isinstance(depth, Column) else F.lit(depth))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from .lineage import materialize
+from .lineage import materialize, skew_join
 
 CAPACITY = 16
 MOVING_CAPACITY = 64
@@ -44,47 +48,134 @@ def neighbors(df: DataFrame, chosen: Column, r: int) -> DataFrame:
     return range_join(df.filter(chosen).select(F.col("guid").alias("qid"), "pos"), df, r)
 
 
-def first_level(df: DataFrame) -> int:
-    """The first depth at which the rows lie in more than one cell: above it all share one."""
-    ends = df.agg(*(f(F.col("pos")[a]).alias(f"{n}{a}") for a in g.AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    if ends["lox"] is None:
-        return 1
-    differ = max((int(ends[f"lo{a}"]) + g.HALF) ^ (int(ends[f"hi{a}"]) + g.HALF) for a in g.AXES)
-    return min(63, 64 - differ.bit_length()) if differ else 63
+def morton(p: Column) -> list[Column]:
+    """Bits of the 63 levels of a point's cells, three a level, in three numbers of 21 levels, the coarsest first.
+
+    Cells of any depth are runs in this order, and octants follow each other by number.
+    """
+    steps = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+    def spread(c: Column) -> Column:
+        for shift, mask in steps:
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    def level(shift: int) -> Column:
+        x, y, z = (spread(F.shiftright(p[a] + F.lit(g.HALF), shift).bitwiseAND(F.lit((1 << 21) - 1))) for a in g.AXES)
+        return F.shiftleft(x, 2).bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(z)
+
+    return [level(42), level(21), level(0)]
+
+
+def _common_levels(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Levels at which rows i and j of m (n x 3, sorted) lie in one cell."""
+    out = np.full(len(i), 63, np.int64)
+    for part in (2, 1, 0):
+        differ = m[i, part] ^ m[j, part]
+        _, top = np.frexp(differ.astype(np.float64))
+        top = np.where((differ >> np.maximum(top - 1, 0)) == 0, top - 1, top)  # the float may be rounded up
+        out = np.where(differ != 0, 21 * part + (63 - top) // 3, out)
+    return out
 
 
-def assign_cells(df: DataFrame, capacity: int = CAPACITY, batch: int = 8) -> DataFrame:
+def leaf_depths(m: np.ndarray, n: np.ndarray, capacity: int) -> np.ndarray:
+    """Depth of the leaf of each distinct position, in Morton order with n rows each: one below its deepest cell of more than capacity rows.
+
+    A cell is a run, so such a cell holds a window of just over capacity rows about the position.
+    """
+    depth = np.ones(len(n), np.int64)
+    if not len(n):
+        return depth
+    upto = np.cumsum(np.minimum(n, capacity + 1))
+    last = np.searchsorted(upto, upto - np.minimum(n, capacity + 1) + capacity, "right")
+    first = np.flatnonzero(last < len(n))
+    last = last[first]
+    level = np.minimum(_common_levels(m, first, last) + 1, 63)
+    for step in range(int((last - first).max(initial=-1)) + 1):
+        some = first + step <= last
+        at = first[some] + step
+        depth[at] = np.maximum(depth[at], level[some])
+    return depth
+
+
+_PLACED = "pos struct<x: bigint, y: bigint, z: bigint>, m0 long, m1 long, m2 long, n long, depth int, edge boolean"
+
+
+def _leaves(capacity: int):
+    """Depths within one sorted partition; positions near its ends, whose windows may go on outside, are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)  # a range partition of distinct positions
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        m = np.stack([rows.column(c).to_numpy() for c in ("m0", "m1", "m2")], 1)
+        depth = leaf_depths(m, rows.column("n").to_numpy(), capacity)
+        place = np.arange(len(m))
+        edge = (place <= capacity) | (place >= len(m) - 1 - capacity)
+        yield from rows.append_column("depth", pa.array(depth.astype(np.int32))).append_column("edge", pa.array(edge)).to_batches(10_000)
+
+    return run
+
+
+def assign_cells(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adaptive octree cells as columns cell_depth and cell: a cell with more than capacity rows is split.
 
-    The tree's shape depends on the set of points only. `batch` levels are counted at once (pre-aggregated), and
-    only points whose cell at the last of them is still too full go on. Levels at which all points share a cell are
-    skipped. Unit cells (coincident points) stay whole.
+    The tree's shape depends on the set of points only. Distinct positions are counted and sorted once, by ranges of their
+    Morton code; each range is solved by itself, and the few rows about the ends of ranges once more together, as
+    only their cells reach across. Unit cells (coincident points) stay whole; their rows don't meet in one task.
     """
-    counts = df.groupBy("pos").count()
-    done: DataFrame | None = None
-    first = first_level(df)
-    if first > 1:  # a single cell above: it is split if it holds too many rows at all
-        first = first if len(df.limit(capacity + 1).select("guid").take(capacity + 1)) > capacity else 1
-    now, last = counts, first - 1
-    while True:
-        start, last = last + 1, min(last + batch, 63)
-        level = now.withColumn("d", F.explode(F.sequence(F.lit(start), F.lit(last)))).withColumn("cell", g.cell_key(F.col("pos"), F.col("d")))
-        full = level.groupBy("cell").agg(F.sum("count").alias("n")).filter(F.col("n") > capacity).select("cell")
-        deepest = level.join(full, "cell").groupBy("pos").agg(F.max("d").alias("deepest"))
-        placed = materialize(now.join(deepest, "pos", "left").withColumn("deepest", F.coalesce("deepest", F.lit(start - 1))), "cells")
-        stay = placed if last == 63 else placed.filter(F.col("deepest") < last)
-        stay = stay.select("pos", F.least(F.col("deepest") + 1, F.lit(63)).alias("cell_depth"))
-        done = stay if done is None else done.unionByName(stay)
-        now = placed.filter(F.col("deepest") == last).select("pos", "count")
-        if last == 63 or now.isEmpty():
-            break
-    return df.join(done, "pos").withColumn("cell", g.cell_key(F.col("pos"), F.col("cell_depth")))
+    spark = df.sparkSession
+    codes = morton(F.col("pos"))
+    counts = df.groupBy("pos").agg(F.count("*").alias("n")).select("pos", *(c.alias(f"m{i}") for i, c in enumerate(codes)), "n")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = counts.repartitionByRange(parts, "m0", "m1", "m2").sortWithinPartitions("m0", "m1", "m2")
+    placed = materialize(ranges.mapInArrow(_leaves(capacity), _PLACED), "leaves")
+    ends = placed.filter("edge").toArrow().sort_by([(c, "ascending") for c in ("m0", "m1", "m2")])  # 2 * capacity + 2 rows of a partition at most
+    m = np.stack([ends.column(c).to_numpy() for c in ("m0", "m1", "m2")], 1)
+    depth = np.maximum(leaf_depths(m, ends.column("n").to_numpy(), capacity), ends.column("depth").to_numpy())
+    solved = ends.set_column(ends.schema.get_field_index("depth"), "depth", pa.array(depth.astype(np.int32))).select(["pos", "n", "depth"])
+    leaves = placed.filter("NOT edge").select("pos", "n", "depth").unionByName(spark.createDataFrame(solved, "pos struct<x: bigint, y: bigint, z: bigint>, n long, depth int"))
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    both = skew_join(df, leaves, ["pos"], "n", total).withColumnRenamed("depth", "cell_depth")
+    return both.select(*(F.col(f"`{c}`") for c in df.columns), "cell_depth", g.cell_key(F.col("pos"), F.col("cell_depth")).alias("cell"))
+
+
+def morton_order(df: DataFrame) -> DataFrame:
+    """df dealt out and sorted by the Morton code of pos: near points lie in few partitions, each partition in cell order."""
+    spare = [f"__m{i}" for i in range(3)]
+    coded = df.withColumns(dict(zip(spare, morton(F.col("pos")))))
+    return coded.repartitionByRange(*spare).sortWithinPartitions(*spare).drop(*spare)
 
 
 def tree_stats(cells: DataFrame) -> DataFrame:
-    """Leaves, occupants, deepest level and fullest leaf."""
-    leaves = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("cell_depth").alias("d"))
-    return leaves.agg(F.count("*").alias("leaves"), F.sum("n").alias("occupants"), F.max("d").alias("max_depth"), F.max("n").alias("max_occupancy"))
+    """Leaves, their ancestors (branches), nodes, occupants, deepest level, fullest leaf, and means of occupants and depth by leaf."""
+    leaves = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("cell_depth").cast("int").alias("d"), F.any_value("pos").alias("pos"))
+    above = leaves.select("pos", F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("d")).select(g.cell_key(F.col("pos"), F.col("d")).alias("cell")).distinct()
+    found = leaves.agg(F.count("*").alias("leaves"), F.sum("n").alias("occupants"), F.max("d").alias("max_depth"), F.max("n").alias("max_occupancy"), F.avg("n").alias("mean_occupancy"), F.avg("d").alias("mean_depth"))
+    branches = above.agg(F.count("*").alias("branches"))
+    return found.join(branches, F.lit(True)).withColumn("nodes", F.col("leaves") + F.col("branches"))
+
+
+def resolve_leaf(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """guid, cell: the leaf of an existing tree in which each point lies; null where the tree has none. points: guid, pos."""
+    leaves = cells.select("cell", F.col("cell_depth").cast("int").alias("d")).distinct()
+    depths = leaves.agg(F.array_sort(F.collect_set("d")).alias("depths"))  # 63 values at most
+    tried = points.select("guid", "pos").join(depths, F.lit(True)).select("guid", F.explode("depths").alias("d"), "pos")
+    hit = tried.select("guid", g.cell_key(F.col("pos"), F.col("d")).alias("cell")).join(leaves.select("cell"), "cell")
+    return points.select("guid").join(hit, "guid", "left").select("guid", "cell")
+
+
+def split(df: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
+    """df with octant: the child of a box in which each row lies (0 to 7), for rows in the box."""
+    middle = g.point(*((a + b) // 2 for a, b in zip(low, high)))
+    return df.filter(g.in_box(F.col("pos"), g.point(*low), g.point(*high))).withColumn("octant", g.octant(F.col("pos"), middle))
+
+
+def random_take(df: DataFrame, n: int, key: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """n rows picked at random by a seed, and the others. The order is a hash of the key, so a task that is run anew picks the same."""
+    taken = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return taken, df.join(taken.select(key), key, "left_anti")
 
 
 def leaf_neighbors(cells: DataFrame, chosen: Column, r: int) -> DataFrame:

@@ -58,6 +58,25 @@ def sphere_meets_box(spark, d):
     return b.select("box", g.sphere_meets_box(g.point(9000, 100, 4), 30, low, high).alias("meets"))
 
 
+@query("""WITH c AS (SELECT p_partkey AS id, -p_partkey AS x0, 3 * p_partkey + 1 AS x1, 0 AS y0, p_partkey AS y1, 7 - p_partkey AS z0, 7 AS z1 FROM part), m AS (SELECT *, CAST(floor((x0 + x1) / 2.0) AS BIGINT) AS mx, CAST(floor((y0 + y1) / 2.0) AS BIGINT) AS my, CAST(floor((z0 + z1) / 2.0) AS BIGINT) AS mz FROM c)
+SELECT id, CAST(i AS INT) AS octant, CASE WHEN i & 4 > 0 THEN mx ELSE x0 END AS lx, CASE WHEN i & 4 > 0 THEN x1 ELSE mx END AS hx, CASE WHEN i & 2 > 0 THEN my ELSE y0 END AS ly, CASE WHEN i & 2 > 0 THEN y1 ELSE my END AS hy, CASE WHEN i & 1 > 0 THEN mz ELSE z0 END AS lz, CASE WHEN i & 1 > 0 THEN z1 ELSE mz END AS hz FROM m, range(8) r(i)""")
+def child_bounds(spark, d):
+    p = F.col("p_partkey")
+    boxes = g.child_bounds(g.point(-p, 0, 7 - p), g.point(3 * p + 1, p, 7))
+    rows = table(spark, d, "part").select(p.alias("id"), F.explode(boxes).alias("b"))
+    return rows.select("id", "b.octant", *(F.col(f"b.{e}.{a}").alias(f"{e[0]}{a}") for a in g.AXES for e in ("low", "high")))
+
+
+@query(f"WITH {P} SELECT guid, CAST(floor(sqrt(CAST({D2.format(*CENTER)} AS DOUBLE))) AS INT) AS distance FROM p")
+def distance_to(spark, d):
+    return points(spark, d).select("guid", g.distance_to(F.col("pos"), g.point(*CENTER)).alias("distance"))
+
+
+@query(f"WITH {P} SELECT guid, CASE WHEN x >= 7000 THEN 4 ELSE 0 END + CASE WHEN y >= 500 THEN 2 ELSE 0 END + CASE WHEN z >= 50 THEN 1 ELSE 0 END AS octant FROM p WHERE x < 14000 AND y < 1000 AND z < 100")
+def octant_split(spark, d):
+    return spatial.morton_order(spatial.split(points(spark, d), (0, 0, 0), (14000, 1000, 100))).select("guid", "octant")
+
+
 @query("""SELECT CASE WHEN l_orderkey >= 7000 THEN 4 ELSE 0 END + CASE WHEN l_partkey >= 100 THEN 2 ELSE 0 END + CASE WHEN l_suppkey >= 5 THEN 1 ELSE 0 END AS octant,
 count(*) AS n, min(l_orderkey) AS low FROM lineitem WHERE l_orderkey >= 10 AND l_orderkey < 14000 AND l_partkey >= 0 AND l_partkey < 1000000 AND l_suppkey >= 1 AND l_suppkey < 100000 GROUP BY 1""")
 def octants_in_region(spark, d):
@@ -79,10 +98,19 @@ def adaptive_cells(spark, d):
     return spatial.assign_cells(points(spark, d)).select("guid", F.col("cell_depth").cast("int").alias("cell_depth"), "cell")
 
 
-@query("WITH " + CELLS.format(64) + ", v AS (SELECT cell, count(*) AS n, max(depth) AS d FROM cells GROUP BY cell) SELECT count(*) AS leaves, CAST(sum(n) AS BIGINT) AS occupants, CAST(max(d) AS INT) AS max_depth, max(n) AS max_occupancy FROM v")
+@query("WITH " + CELLS.format(64) + f""", v AS (SELECT cell, count(*) AS n, max(depth) AS d, min(x) AS x, min(y) AS y, min(z) AS z FROM cells GROUP BY cell),
+a AS (SELECT count(DISTINCT a.d || ':' || {KEY.format('a.d')}) AS branches FROM v, range(63) a(d) WHERE a.d < v.d)
+SELECT count(*) AS leaves, CAST(sum(n) AS BIGINT) AS occupants, CAST(max(d) AS INT) AS max_depth, max(n) AS max_occupancy, round(avg(n), 9) AS mean_occupancy, round(avg(d), 9) AS mean_depth, any_value(branches) AS branches, count(*) + any_value(branches) AS nodes FROM v, a""")
 def tree_stats(spark, d):
     out = spatial.tree_stats(spatial.assign_cells(points(spark, d), spatial.MOVING_CAPACITY))
-    return out.withColumn("max_depth", F.col("max_depth").cast("int"))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_occupancy", "mean_depth")})
+
+
+@query("WITH " + CELLS.format(16) + f""", lv AS (SELECT DISTINCT depth, cell FROM cells), q AS (SELECT o_orderkey AS guid, o_orderkey AS x, o_custkey AS y, 5 AS z FROM orders),
+h AS (SELECT guid, cell FROM q, (SELECT DISTINCT depth AS dk FROM lv) k JOIN lv ON lv.depth = dk AND lv.cell = dk || ':' || {KEY.format('dk')}) SELECT guid, cell FROM q LEFT JOIN h USING (guid)""")
+def resolve_leaf(spark, d):
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("guid"), g.point(F.col("o_orderkey"), F.col("o_custkey"), 5).alias("pos"))
+    return spatial.resolve_leaf(q, spatial.assign_cells(points(spark, d)))
 
 
 @query("WITH " + CELLS.format(16) + f", q AS (SELECT guid AS qid, x AS qx, y AS qy, z AS qz, cell FROM cells WHERE x % 100 = 0) SELECT qid, guid, CAST({D2.format('qx', 'qy', 'qz')} AS BIGINT) AS dist2 FROM q JOIN cells USING (cell) WHERE {D2.format('qx', 'qy', 'qz')} <= 10000")
@@ -132,14 +160,33 @@ def objects(spark, d):
     return e.select(F.col("user_id").alias("guid"), g.point(F.col("m"), F.col("n"), F.col("user_id")).alias("pos"), v.alias("vel"), (F.col("m") % 3 != 0).alias("registered"), (F.col("n") % 50).alias("last_ms"))
 
 
+def many_objects(spark, d):
+    """One moving object for each row of lineitem."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    v = F.struct(*(c.cast("int").alias(a) for a, c in zip(g.AXES, (part % 41 - 20, line * 5 - 20, part % 7))))
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + line).alias("guid"), g.point(F.col("l_orderkey"), part, F.col("l_suppkey")).alias("pos"), v.alias("vel"), (part % 3 != 0).alias("registered"), (line * 9).cast("long").alias("last_ms"))
+    return rows
+
+
 OBJECTS = """e AS (SELECT user_id AS guid, count(*) AS n, max(event_id) AS m FROM events GROUP BY 1),
 o AS (SELECT guid, m AS x, n AS y, guid AS z, m % 41 - 20 AS vx, n % 23 - 11 AS vy, m % 7 AS vz, m % 3 <> 0 AS registered, n % 50 AS last FROM e),
 k AS (SELECT *, registered AND 40 - last > 0 AND greatest(abs(vx), abs(vy), abs(vz)) >= 10 AND abs(vx) + abs(vy) + abs(vz) >= 20 AS moves FROM o)"""
+MANY = """o AS (SELECT l_orderkey * 10 + l_linenumber AS guid, l_orderkey AS x, l_partkey AS y, l_suppkey AS z, l_partkey % 41 - 20 AS vx, l_linenumber * 5 - 20 AS vy, l_partkey % 7 AS vz, l_partkey % 3 <> 0 AS registered, CAST(l_linenumber * 9 AS BIGINT) AS last FROM lineitem),
+k AS (SELECT *, registered AND 40 - last > 0 AND greatest(abs(vx), abs(vy), abs(vz)) >= 10 AND abs(vx) + abs(vy) + abs(vz) >= 20 AS moves FROM o)"""
 
 
-@query(f"WITH {OBJECTS} SELECT guid, CASE WHEN moves THEN x + vx * (40 - last) ELSE x END AS x, CASE WHEN moves THEN y + vy * (40 - last) ELSE y END AS y, CASE WHEN moves THEN z + vz * (40 - last) ELSE z END AS z, CASE WHEN moves THEN 40 ELSE last END AS last_ms FROM k")
+@query(f"WITH {MANY} SELECT guid, CASE WHEN moves THEN x + vx * (40 - last) ELSE x END AS x, CASE WHEN moves THEN y + vy * (40 - last) ELSE y END AS y, CASE WHEN moves THEN z + vz * (40 - last) ELSE z END AS z, CASE WHEN moves THEN 40 ELSE last END AS last_ms FROM k")
 def tick(spark, d):
-    return motion.step(objects(spark, d), 40).select("guid", "pos.x", "pos.y", "pos.z", "last_ms")
+    return motion.step(many_objects(spark, d), 40).select("guid", "pos.x", "pos.y", "pos.z", "last_ms")
+
+
+@query(f"WITH {MANY} SELECT guid, CASE WHEN moves THEN x - vx ELSE x END AS x FROM k WHERE NOT (moves AND y - vy < 100)")
+def custom_motion(spark, d):
+    def backwards(pos, vel, elapsed):
+        target = {a: g.wide(pos[a]) - vel[a] for a in g.AXES}
+        return target, target["y"] < 100
+
+    return motion.step(many_objects(spark, d), 40, backwards).select("guid", "pos.x")
 
 
 @query(f"WITH {OBJECTS} SELECT count(*) AS objects, CAST(sum(CASE WHEN moves THEN 1 ELSE 0 END) AS BIGINT) AS moved, CAST(sum(CASE WHEN NOT moves AND (vx <> 0 OR vy <> 0 OR vz <> 0) THEN 1 ELSE 0 END) AS BIGINT) AS unmoved, CAST(0 AS BIGINT) AS missing, CAST(sum(CASE WHEN vx = 0 AND vy = 0 AND vz = 0 THEN 1 ELSE 0 END) AS BIGINT) AS stationary FROM k")
@@ -148,6 +195,20 @@ def simulation_report(spark, d):
     return motion.report(o, motion.step(o, 40))
 
 
+@query(f"""WITH {OBJECTS}, c AS (SELECT unnest([40, 80, 120]) AS t), p AS (SELECT t // 40 AS nr, guid, vx = 0 AND vy = 0 AND vz = 0 AS still,
+CASE WHEN registered AND t - last > 0 AND greatest(abs(vx), abs(vy), abs(vz)) >= 10 AND abs(vx) + abs(vy) + abs(vz) >= 20 THEN (x + vx * (t - last), y + vy * (t - last), z + vz * (t - last)) ELSE (x, y, z) END AS pos FROM o, c),
+l AS (SELECT *, lag(pos) OVER (PARTITION BY guid ORDER BY nr) AS old, row_number() OVER (PARTITION BY nr ORDER BY CAST(pos[1] AS HUGEINT) * pos[1] + CAST(pos[2] AS HUGEINT) * pos[2] + CAST(pos[3] AS HUGEINT) * pos[3], guid) AS place FROM p)
+SELECT CAST(nr AS INT) AS nr, CAST(sum(CASE WHEN NOT still AND pos <> old THEN 1 ELSE 0 END) AS BIGINT) AS moved, CAST(sum(CASE WHEN still THEN 1 ELSE 0 END) AS BIGINT) AS failed, string_agg(CASE WHEN place <= 5 THEN guid END, ' ' ORDER BY place) AS closest FROM l GROUP BY nr""")
+def monitor(spark, d):
+    checks, now = None, objects(spark, d)
+    for i in (1, 2, 3):
+        now = motion.step(now, 40 * i)
+        one = now.select(F.lit(i).alias("check"), "guid", "pos", "vel")
+        checks = one if checks is None else checks.unionByName(one)
+    found = motion.monitor(checks, 5)
+    return found.select(F.col("check").alias("nr"), "moved", "failed", F.array_join(F.transform("closest", lambda x: x.cast("string")), " ").alias("closest"))
+
+
 # Vectors.
 Q = "z AS (SELECT vec_id AS id, i - 1 AS d, CAST(trunc(CAST(embedding[i] AS DOUBLE) * 1000000000) AS BIGINT) AS v FROM embeddings, range(1, 65) r(i) WHERE abs(embedding[i]) >= CAST(0.01 AS FLOAT)), s AS (SELECT * FROM z WHERE v <> 0)"
 FULL = Q + ", f AS (SELECT e.vec_id AS id, r.d, coalesce(v, 0) AS v FROM embeddings e CROSS JOIN range(64) r(d) LEFT JOIN s ON s.id = e.vec_id AND s.d = r.d)"
