@@ -1,9 +1,7 @@
-"""Shared helpers: table access, scratch tables on shared storage, bounded Arrow slices, word splitting."""
+"""Shared helpers: table access, bounded Arrow slices, word splitting; scratch tables and joins are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import clear_scratch, discard, materialize, scratch_dir, skew_join  # noqa: F401  used by the operators
+
 #: Bytes of text handled at once by a Python worker.
 SLICE_BYTES = 2 << 20
 #: The same for work on arrays of eight bytes for each byte of text, so that they stay in the processor's cache.
@@ -21,62 +21,10 @@ CACHE_WORDS = 250_000
 #: Longer words aren't kept, so the entries bound the bytes of a cache.
 CACHE_LENGTH = 64
 
-_own_scratch: dict[str, str] = {}
-_tables: dict[str, set[str]] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured and Spark runs in one process."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _own_scratch:
-        _own_scratch[context.applicationId] = tempfile.mkdtemp(prefix="orthant-scratch-")
-    return _own_scratch[context.applicationId]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it back.
-
-    The result survives the loss of any executor because no block of it lives on one.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/orthant-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "scratch_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application: to be called once the results that read them are written."""
-    for path in list(_tables.get(spark.sparkContext.applicationId, ())):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    _tables.get(spark.sparkContext.applicationId, set()).discard(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, lengthened by underscores until df has no such column."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -88,23 +36,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: A key is hot if it has more than this part of all rows, so there are at most so many hot keys.
-HOT_PART = 1024
-
-
-def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of rows with keyed, which has one row for each key, and in `count` the key's number of rows.
-
-    Keys with more than a `HOT_PART`-th of `total` rows (no fewer than all rows divided by a small constant) are joined by
-    broadcast, and there are so few of them whatever the data; only the others are shuffled, so no task gets a hot key.
-    """
-    hot = keyed.filter(F.col(count) * HOT_PART > total)
-    rest = keyed.filter(F.col(count) * HOT_PART <= total)
-    few = F.broadcast(hot)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
-    return rows.join(few, keys).unionByName(cold)
-
-
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as text, modulo; null ids count as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
