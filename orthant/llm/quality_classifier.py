@@ -57,7 +57,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at_byte = np.repeat(passage, length + 1)
     size = np.maximum(np.bincount(at_byte, minlength=n), 1).astype(np.float64)
 
-    pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 7) % BIGRAMS
+    pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 7) % BIGRAMS
     inner = at_byte[1:] == at_byte[:-1]  # no pair reaches into the next passage, which may be another document's
     grams = np.bincount((at_byte[:-1] * BIGRAMS + pair)[inner], minlength=n * BIGRAMS).reshape(n, BIGRAMS)
     out[:, :BIGRAMS] = np.sqrt(grams / size[:, None])
