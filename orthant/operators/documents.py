@@ -123,6 +123,20 @@ def adjust_prompt(prompt: str, weights: dict[str, float], signals: int) -> str:
     return re.sub(r"\s{2,}", " ", changed).strip().rstrip(",")
 
 
+def rank_results(results: DataFrame, n: int, model: str = "base_model", downloads: str = "downloads", family: str = "sdxl") -> DataFrame:
+    """The n first search results: those of a model family (by name, in any case) before others, then by downloads, both descending."""
+    fits = F.contains(F.lower(model), F.lit(family.lower()))
+    return results.withColumn("compatible", F.coalesce(fits, F.lit(False))).orderBy(F.desc("compatible"), F.desc(downloads)).limit(n)
+
+
+def value_at(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """keys and at: the value at place int(n * share), from 0, in ascending order, as for a p99. By counts of values, so no key's rows meet in one task."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*keys)
+    running = counts.withColumn("upto", F.sum("c").over(group.orderBy(value))).withColumn("n", F.sum("c").over(group))
+    return running.filter(F.col("upto") > F.least(F.floor(F.col("n") * share), F.col("n") - 1)).groupBy(*keys).agg(F.min(value).alias("at"))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key (keyed store: upsert keeps the newest)."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

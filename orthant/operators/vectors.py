@@ -127,6 +127,26 @@ def dimension_stats(df: DataFrame, dims: int) -> DataFrame:
     return sums.join(median, "d").join(total, F.lit(True)).select("d", "entries", big(F.col("n") * F.col("ss") - F.col("s") * F.col("s")).alias("spread"), "median")
 
 
+def active_dims(df: DataFrame, n: int = 10) -> DataFrame:
+    """d, rows of the n dimensions that most rows have an entry in, ties to the smaller."""
+    return df.select(F.explode("e").alias("x")).groupBy(F.col("x.d").alias("d")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "d").limit(n)
+
+
+def sparse_l2(a: Column, b: Column) -> Column:
+    """Squared L2 of entry arrays, over the dimensions that either has."""
+    return _sparse(a, b, lambda g: (g.cast("decimal(19,0)") * g.cast("decimal(19,0)")).cast("decimal(38,0)"))
+
+
+def sparse_l1(a: Column, b: Column) -> Column:
+    return _sparse(a, b, lambda g: F.abs(g).cast("decimal(38,0)"))
+
+
+def _sparse(a: Column, b: Column, of) -> Column:
+    zero = F.lit(0).cast("long")
+    gaps = F.map_values(F.map_zip_with(F.map_from_entries(a), F.map_from_entries(b), lambda k, x, y: F.coalesce(x, zero) - F.coalesce(y, zero)))
+    return F.aggregate(gaps, F.lit(0).cast("decimal(38,0)"), lambda s, g: (s + of(g)).cast("decimal(38,0)"))
+
+
 def split_choice(stats: DataFrame) -> DataFrame:
     """The dimension of the largest spread (ties: the least) and its median: one split of a KD build."""
     return stats.orderBy(F.desc("spread"), "d").limit(1).select("d", "median")
@@ -300,10 +320,9 @@ def find_token(tokens: DataFrame, text: str) -> DataFrame:
 
 
 def greedy_tokens(prompts: DataFrame, tokens: list[str], most: int = 50) -> DataFrame:
-    """prompts (id, text) with ids: the longest token at each place, in any case, with or without its leading space mark.
+    """prompts (id, text) with ids: the longest token at each place, in any case.
 
-    A token takes as many characters as it has, mark included; a place without a token is skipped, and reading ends
-    after more than `most` tokens. Of tokens alike the first counts.
+    A place without a token is skipped, and reading ends after more than `most` tokens. Of tokens alike the first counts.
     """
     plain: dict[int, dict[str, int]] = {}
     for i, token in enumerate(tokens):

@@ -425,7 +425,7 @@ def samples(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("i"), "value")
 
 
-@query(f"WITH {SIGNAL} SELECT series, frame, round(rms, 6) AS rms, round(greatest(-96, CASE WHEN rms > 0 THEN 20 * log10(rms) ELSE -96 END), 6) AS db, peak FROM f")
+@query(f"WITH {SIGNAL} SELECT series, frame, round(rms, 6) AS rms, round(CASE WHEN rms > 0 THEN 20 * log10(rms) ELSE -96 END, 6) AS db, peak FROM f")
 def rms_envelope(spark, d):
     s = samples(spark, d)
     return signal.rms_envelope(s, 64).join(signal.peaks(s, 64), ["series", "frame"]).select("series", "frame", F.round("rms", 6).alias("rms"), F.round("db", 6).alias("db"), "peak")

@@ -40,6 +40,17 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return out.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in SCHEMA.split(", ")))
 
 
+def load_scene(spark: SparkSession, path: str, base: DataFrame | None = None, register: bool = True) -> DataFrame:
+    """Moving objects (guid, pos, vel, registered, last_ms) at the points of static files, inserted into base; frame files give none."""
+    from ..operators import spatial
+
+    rows = read_points(spark, path).filter("frame IS NULL")
+    axes = [F.col(a).cast("long").alias(a) for a in ("x", "y", "z")]
+    still = F.struct(*(F.lit(0).cast("int").alias(a) for a in ("x", "y", "z")))
+    new = rows.select(F.xxhash64("file", "x", "y", "z", F.monotonically_increasing_id()).alias("guid"), F.struct(*axes).alias("pos"), still.alias("vel"), F.lit(register).alias("registered"), F.lit(0).cast("long").alias("last_ms"))
+    return spatial.insert(base if base is not None else new.limit(0), new)
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """Headerless float rows: id and vec; a cell that is no number is 0."""
     rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())

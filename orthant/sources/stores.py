@@ -38,6 +38,20 @@ def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("allowComments", True).json(path)
 
 
+MUSIC = "instruments map<string, array<string>>, tempoMarkings array<struct<label: string, bpmHint: int>>, composers array<string>, artists array<string>, genres array<string>, keys array<string>, scales array<string>, moodPresets array<string>"
+
+
+def instruments(config: DataFrame, family: str | None = None) -> DataFrame:
+    """family, instrument of a music configuration, of one family or of all."""
+    rows = config.select(F.explode("instruments").alias("family", "list")).select("family", F.explode("list").alias("instrument"))
+    return rows if family is None else rows.filter(F.col("family") == family)
+
+
+def tempo_markings(config: DataFrame) -> DataFrame:
+    """label, bpm_hint."""
+    return config.select(F.explode("tempoMarkings").alias("t")).select("t.label", F.col("t.bpmHint").alias("bpm_hint"))
+
+
 def scan_new(spark: SparkSession, glob: str, known: DataFrame) -> DataFrame:
     """Files that match and aren't known yet: path, modified, size. known: path."""
     files = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
