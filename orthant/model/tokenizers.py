@@ -7,7 +7,8 @@ from functools import lru_cache
 import regex
 
 _pieces = regex.compile(r"[\p{P}\p{S}]|[^\s\p{P}\p{S}]+")
-_byte_pieces = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The pattern that byte-level pair vocabularies split texts by.
+_byte_pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def byte_of_char() -> dict[str, int]:

@@ -58,7 +58,7 @@ def ingest(spark: SparkSession, folder: str, index: DataFrame | None, now: Colum
     listed = files.select(names.alias("file_name"), F.col("modificationTime").alias("mtime"))
     old = index if index is not None else spark.createDataFrame([], INDEX)
     todo = stale(listed, old).select("file_name")
-    text = files.select(names.alias("file_name"), F.decode("content", F.lit("UTF-8")).alias("content")).join(todo, "file_name", "left_semi")
+    text = files.select(names.alias("file_name"), F.decode("content", "UTF-8").alias("content")).join(todo, "file_name", "left_semi")
     new = text.select("file_name", t.role(F.col("file_name")).alias("role"), F.substring("content", 1, 500).alias("summary"), t.keywords(F.col("content")).alias("keywords"), (now if now is not None else F.current_timestamp()).alias("indexed_utc"), "content")
     return upsert(prune(old, listed), new, "file_name")
 

@@ -86,8 +86,9 @@ def leaf_depths(m: np.ndarray, n: np.ndarray, capacity: int) -> np.ndarray:
     depth = np.ones(len(n), np.int64)
     if not len(n):
         return depth
-    upto = np.cumsum(np.minimum(n, capacity + 1))
-    last = np.searchsorted(upto, upto - np.minimum(n, capacity + 1) + capacity, "right")
+    n = np.minimum(n, capacity + 1)
+    upto = np.cumsum(n)
+    last = np.searchsorted(upto, upto - n + capacity, "right")  # the shortest run with too many rows from each position on
     first = np.flatnonzero(last < len(n))
     last = last[first]
     level = np.minimum(_common_levels(m, first, last) + 1, 63)
@@ -95,6 +96,9 @@ def leaf_depths(m: np.ndarray, n: np.ndarray, capacity: int) -> np.ndarray:
         some = first + step <= last
         at = first[some] + step
         depth[at] = np.maximum(depth[at], level[some])
+    start = np.searchsorted(upto - n, upto - capacity, "left") - 1  # and up to each position
+    at = np.flatnonzero(start >= 0)
+    depth[at] = np.maximum(depth[at], np.minimum(_common_levels(m, start[at], at) + 1, 63))
     return depth
 
 
