@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model.tokenizers import byte_of_char
 from .common import BoundedCache, slices, table
 
 SIZE = 1024
@@ -44,13 +45,6 @@ class _NotPlain(Exception):
     """A text in which a space isn't followed by a visible character."""
 
 
-def _byte_chars() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: visible Latin-1 ones for themselves, others from 256 on."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def fast_words(path: str):
     """A quicker encoder of the same vocabulary for single words, or None if the file's merges aren't in id order."""
     import public_tokenizers
@@ -58,7 +52,7 @@ def fast_words(path: str):
 
     with open(path) as file:
         spec = json.load(file)
-    model, chars = spec["model"], _byte_chars()
+    model, chars = spec["model"], byte_of_char()
     ids = {tuple(m.split(" ") if isinstance(m, str) else m): model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", ())}
     plain = model.get("type", "BPE") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
     order = list(ids.values())
