@@ -143,8 +143,30 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def expire(df: DataFrame, now: Column, hours: int = 24) -> DataFrame:
-    """Rows that aren't deleted, or were less than `hours` ago."""
-    return df.filter(F.col("deleted_utc").isNull() | (F.col("deleted_utc") > now - F.expr(f"INTERVAL {hours} HOURS")))
+    """Rows that aren't deleted, or were no more than `hours` ago."""
+    return df.filter(F.col("deleted_utc").isNull() | (F.col("deleted_utc") >= now - F.expr(f"INTERVAL {hours} HOURS")))
+
+
+def migrate_deleted(df: DataFrame, now: Column) -> DataFrame:
+    """Rows with the old mark of deletion (legacy_deleted) and no time of it are deleted as of now."""
+    return df.withColumn("deleted_utc", F.when(F.col("legacy_deleted") & F.col("deleted_utc").isNull(), now).otherwise(F.col("deleted_utc")))
+
+
+def visible(df: DataFrame) -> DataFrame:
+    """Rows of a catalog that aren't deleted, by prompt."""
+    return df.filter(F.col("deleted_utc").isNull()).orderBy("prompt")
+
+
+def stack(df: DataFrame, prompt: int) -> DataFrame:
+    """A prompt's visible rows, newest first."""
+    return df.filter((F.col("prompt") == prompt) & F.col("deleted_utc").isNull()).orderBy(F.desc("generated_utc"))
+
+
+def catalog_counts(df: DataFrame) -> DataFrame:
+    """visible, unseen and saved: numbers of rows that aren't deleted."""
+    there = F.col("deleted_utc").isNull()
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return df.agg(count(there).alias("visible"), count(there & ~F.col("seen")).alias("unseen"), count(there & F.col("saved")).alias("saved"))
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -30,6 +30,11 @@ def quantize(vec: Column, scale: int = SCALE, zero: float = 0.01, budget: int |
     return F.array_sort(F.transform(F.slice(ranked, 1, budget), lambda e: F.struct(e["d"].alias("d"), e["v"].alias("v"))))
 
 
+def quantize_dense(vec: Column, scale: int = SCALE, zero: float = 0.01) -> Column:
+    """The same rule for a dense array: values below the threshold (as float32) are 0, others trunc(value * scale)."""
+    return F.transform(vec, lambda x: F.when(F.abs(x) >= F.lit(zero).cast("float"), (x.cast("double") * F.lit(float(scale))).cast("long")).otherwise(F.lit(0).cast("long")))
+
+
 def dequantize(e: Column, dims: int, scale: int = SCALE) -> Column:
     """Dense float array; missing dimensions are 0."""
     m = F.map_from_entries(e)

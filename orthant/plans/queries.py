@@ -237,6 +237,11 @@ def quantize_budget(spark, d):
     return sparse(spark, d, budget=8).select("id", F.explode("e").alias("x")).select("id", "x.d", "x.v")
 
 
+@query(f"WITH {FULL} SELECT id, CAST(d AS INT) AS d, v FROM f")
+def quantize_dense(spark, d):
+    return dense(spark, d).select("id", F.posexplode(vectors.quantize_dense(F.col("vec"))).alias("d", "v"))
+
+
 @query(f"WITH {FULL} SELECT id, CAST(d AS INT) AS d, round(CAST(CAST(v AS DOUBLE) / 1000000000 AS FLOAT), 6) AS x FROM f")
 def dequantize(spark, d):
     back = sparse(spark, d).select("id", F.posexplode(vectors.dequantize(F.col("e"), 64)).alias("d", "x"))
@@ -381,13 +386,39 @@ def latest_by_key(spark, d):
     return documents.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) AS n FROM events, n WHERE event_id % 2 = 0 OR ts > now - INTERVAL 24 HOURS GROUP BY 1")
+@query("WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) AS n FROM events, n WHERE event_id % 2 = 0 OR ts >= now - INTERVAL 24 HOURS GROUP BY 1")
 def soft_delete_expiry(spark, d):
     e = table(spark, d, "events").withColumn("deleted_utc", F.when(F.col("event_id") % 2 != 0, F.col("ts")))
     now = table(spark, d, "events").agg(F.max("ts").alias("now"))
     return documents.expire(e.join(now, F.lit(True)), F.col("now")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def catalog(spark, d):
+    """Orders as a catalog of images."""
+    o = table(spark, d, "orders")
+    key, late = F.col("o_orderkey"), F.to_timestamp(F.lit("2024-01-01"))
+    old = o.select(key, (F.col("o_custkey") % 40).alias("prompt"), F.col("o_orderdate").alias("generated_utc"), (key % 3 == 0).alias("seen"), (key % 5 == 0).alias("saved"), (key % 7 == 0).alias("legacy_deleted"), F.when(key % 4 == 0, F.col("o_orderdate")).alias("deleted_utc"))
+    return documents.migrate_deleted(old, late)
+
+
+CATALOG = "c AS (SELECT o_orderkey, o_custkey % 40 AS prompt, o_orderdate AS generated_utc, o_orderkey % 3 = 0 AS seen, o_orderkey % 5 = 0 AS saved FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 7 <> 0)"
+
+
+@query(f"WITH {CATALOG} SELECT count(*) AS visible, CAST(sum(CASE WHEN seen THEN 0 ELSE 1 END) AS BIGINT) AS unseen, CAST(sum(CASE WHEN saved THEN 1 ELSE 0 END) AS BIGINT) AS saved FROM c")
+def catalog_counts(spark, d):
+    return documents.catalog_counts(catalog(spark, d))
+
+
+@query(f"WITH {CATALOG} SELECT o_orderkey, prompt FROM c")
+def visible(spark, d):
+    return documents.visible(catalog(spark, d)).select("o_orderkey", "prompt")
+
+
+@query(f"WITH {CATALOG} SELECT o_orderkey, generated_utc FROM c WHERE prompt = 3")
+def stack_of_prompt(spark, d):
+    return documents.stack(catalog(spark, d), 3).select("o_orderkey", "generated_utc")
+
+
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders")
 def stack_cursor(spark, d):
     s = spatial.stacked(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")])
