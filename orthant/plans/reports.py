@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..model import embedding
+from ..model import embedding, fixed_point
 from ..model.tokenizers import WordPieces
-from ..operators import documents, vectors
-from ..sources import model_file
+from ..operators import documents, lineage, vectors
+from ..sources import model_file, points, stores
 from .registry import query, table
 
 
@@ -180,3 +182,49 @@ def downsample(spark, d):
 def vibes(spark, d):
     c = F.col("c_custkey")
     return table(spark, d, "customer").select("c_custkey", signal.vibe(-(c % 30).cast("double") - 0.5, (c % 200).cast("double"), c.cast("double")).alias("vibe"))
+
+
+def scratch(spark, label: str) -> str:
+    return f"{lineage.scratch_dir(spark)}/orthant-{label}-{uuid.uuid4().hex}"
+
+
+@query("SELECT l_orderkey AS x, l_partkey AS y, -l_suppkey AS z FROM lineitem")
+def point_files(spark, d):
+    path = scratch(spark, "points")
+    lines = F.concat_ws(", ", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey")), (-F.col("l_suppkey")).cast("string"))
+    table(spark, d, "lineitem").select(F.explode(F.array(F.lit("# x, y, z"), lines)).alias("value")).write.text(path)
+    return points.read_points(spark, path).select("x", "y", "z")
+
+
+@query("SELECT embedding[1] AS x, embedding[2] AS y, embedding[64] AS z FROM embeddings")
+def embedding_rows(spark, d):
+    path = scratch(spark, "rows")
+    table(spark, d, "embeddings").select(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", ").alias("value")).write.text(path)
+    return points.read_embeddings(spark, path).select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("vec")[63].alias("z"))
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version, o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1000 ELSE 0 END AS value FROM orders WHERE o_orderkey % 5 <> 0")
+def record_store(spark, d):
+    path, o = scratch(spark, "store"), table(spark, d, "orders")
+    record = lambda version, more, gone: (F.col("o_orderkey").alias("key"), F.lit(version).alias("version"), gone.alias("deleted"), (F.col("o_custkey") + more).alias("value"))
+    stores.append_records(o.select(*record(1, 0, F.lit(False))), path)
+    stores.append_records(o.filter("o_orderkey % 3 = 0").select(*record(2, 1000, F.lit(False))), path)
+    stores.append_records(o.filter("o_orderkey % 5 = 0").select(*record(3, 0, F.lit(True))), path)
+    return stores.read_records(spark, path, "key long, version int, deleted boolean, value long").select("key", "version", "value")
+
+
+@query(f"WITH {SPARSE.format('0.01')} SELECT id, CAST(d AS INT) AS d, v FROM s")
+def saved_index(spark, d):
+    path = scratch(spark, "index")
+    stores.save_index(dense(spark, d).select("id", vectors.quantize(F.col("vec")).alias("e")), path)
+    return stores.load_index(spark, path).select("id", F.explode("e").alias("x")).select("id", "x.d", "x.v")
+
+
+@query("SELECT o_orderkey, CAST(floor(sqrt(CAST(o_orderkey * 12345 + 7 AS DOUBLE))) AS BIGINT) AS root FROM orders")
+def integer_roots(spark, d):
+    def rows(batches):
+        for batch in batches:
+            keys = batch.column("o_orderkey").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("o_orderkey"), pa.array([fixed_point.isqrt(k * 12345 + 7) for k in keys], pa.int64())], ["o_orderkey", "root"])
+
+    return table(spark, d, "orders").select("o_orderkey").mapInArrow(rows, "o_orderkey long, root long")
