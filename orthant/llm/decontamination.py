@@ -37,6 +37,8 @@ RUN = 6
 #: Fewest words of a window that are no placeholders.
 SOLID = 4
 BITS = 24
+#: Readings of windows that are made at once.
+READINGS = 1 << 17
 # Units that become a placeholder.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec secs min mins h hr hrs day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons dollar dollars cent cents euro euros percent degree degrees watt watts volt volts mph kmh kph".split()
 #: Kinds of windows.
@@ -108,20 +110,21 @@ class Canonical:
         fit = np.flatnonzero(inside & (firm >= need))
         yield PLAIN, fit, mix(total[fit]), np.zeros(len(fit), np.int64)
         before = np.concatenate([[0], np.cumsum(self.opening)])
-        many, where = before[width:] - before[:n], np.flatnonzero(self.opening)
-        for chosen in range(1, 1 << int(many[fit].max(initial=0))):
-            if chosen.bit_count() > width - need:
-                continue
-            at = fit[many[fit] >= chosen.bit_length()]
-            sums, left, names = total[at], firm[at], np.zeros(len(at), np.int64)
-            for k in range(chosen.bit_length()):
-                if chosen >> k & 1:
-                    word = where[before[at] + k]
-                    sums += (NAME - self.token[word]) * POWERS[word - at]
-                    left = left - ~self.slot[word]
-                    names |= 1 << (word - at)
-            keep = left >= need
-            yield NAMED, at[keep], mix(sums[keep]), names[keep]
+        many, where = (before[width:] - before[:n])[fit], np.flatnonzero(self.opening)
+        for k in np.unique(many[many > 0]).tolist():
+            own, step = fit[many == k], max(1, READINGS >> k)
+            for start in range(0, len(own), step):
+                at = own[start : start + step]
+                word = where[before[at] + np.arange(k)[:, None]]
+                delta, loss, bit = (NAME - self.token[word]) * POWERS[word - at], (~self.slot[word]).astype(np.int64), 1 << (word - at)
+                sums, left, names, chosen = total[at][None], firm[at][None], np.zeros((1, len(at)), np.int64), np.zeros(1, np.int64)
+                for i in range(k):  # every reading so far, with this word as a name too
+                    more = np.flatnonzero(chosen < width - need)
+                    sums, left = np.concatenate([sums, sums[more] + delta[i]]), np.concatenate([left, left[more] - loss[i]])
+                    names, chosen = np.concatenate([names, names[more] | bit[i]]), np.concatenate([chosen, chosen[more] + 1])
+                keep = left >= need
+                keep[0] = False
+                yield NAMED, np.broadcast_to(at, keep.shape)[keep], mix(sums[keep]), names[keep]
         total = np.full(n, mix(np.array([width + (EXACT << 8)], np.uint64))[0])
         for k in range(width):
             total += self.plain[k : n + k] * POWERS[k]
