@@ -48,23 +48,33 @@ def neighbors(df: DataFrame, chosen: Column, r: int) -> DataFrame:
     return range_join(df.filter(chosen).select(F.col("guid").alias("qid"), "pos"), df, r)
 
 
-def morton(p: Column) -> list[Column]:
-    """Bits of the 63 levels of a point's cells, three a level, in three numbers of 21 levels, the coarsest first.
+def morton(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> list[np.ndarray]:
+    """Bits of the 63 levels of points' cells, three a level, in three numbers of 21 levels, the coarsest first.
 
     Cells of any depth are runs in this order, and octants follow each other by number.
     """
     steps = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 
-    def spread(c: Column) -> Column:
+    def spread(c: np.ndarray) -> np.ndarray:
         for shift, mask in steps:
-            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+            c = (c | (c << shift)) & mask
         return c
 
-    def level(shift: int) -> Column:
-        x, y, z = (spread(F.shiftright(p[a] + F.lit(g.HALF), shift).bitwiseAND(F.lit((1 << 21) - 1))) for a in g.AXES)
-        return F.shiftleft(x, 2).bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(z)
+    axes = [a.astype(np.int64) + g.HALF for a in (x, y, z)]
+    return [sum(spread((a >> shift) & ((1 << 21) - 1)) << k for a, k in zip(axes, (2, 1, 0))) for shift in (42, 21, 0)]
 
-    return [level(42), level(21), level(0)]
+
+def with_morton(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with the Morton code of pos in three columns. As an expression of shifts and masks it would be too large a tree to compile."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos = batch.column("pos")
+            codes = morton(*(pos.field(a).to_numpy(zero_copy_only=False) for a in g.AXES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, codes)], [*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(coded, f"{schema}, {', '.join(f'`{n}` long' for n in names)}")
 
 
 def _common_levels(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -130,8 +140,7 @@ def assign_cells(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     only their cells reach across. Unit cells (coincident points) stay whole; their rows don't meet in one task.
     """
     spark = df.sparkSession
-    codes = morton(F.col("pos"))
-    counts = df.groupBy("pos").agg(F.count("*").alias("n")).select("pos", *(c.alias(f"m{i}") for i, c in enumerate(codes)), "n")
+    counts = with_morton(df.groupBy("pos").agg(F.count("*").alias("n")), ["m0", "m1", "m2"]).select("pos", "m0", "m1", "m2", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = counts.repartitionByRange(parts, "m0", "m1", "m2").sortWithinPartitions("m0", "m1", "m2")
     placed = materialize(ranges.mapInArrow(_leaves(capacity), _PLACED), "leaves")
@@ -148,8 +157,7 @@ def assign_cells(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def morton_order(df: DataFrame) -> DataFrame:
     """df dealt out and sorted by the Morton code of pos: near points lie in few partitions, each partition in cell order."""
     spare = [f"__m{i}" for i in range(3)]
-    coded = df.withColumns(dict(zip(spare, morton(F.col("pos")))))
-    return coded.repartitionByRange(*spare).sortWithinPartitions(*spare).drop(*spare)
+    return with_morton(df, spare).repartitionByRange(*spare).sortWithinPartitions(*spare).drop(*spare)
 
 
 def tree_stats(cells: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def tree_stats(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("mean_occupancy", "mean_depth")})
 
 
-@query("WITH " + CELLS.format(16) + f""", lv AS (SELECT DISTINCT depth, cell FROM cells), q AS (SELECT o_orderkey AS guid, o_orderkey AS x, o_custkey AS y, 5 AS z FROM orders),
-h AS (SELECT guid, cell FROM q, (SELECT DISTINCT depth AS dk FROM lv) k JOIN lv ON lv.depth = dk AND lv.cell = dk || ':' || {KEY.format('dk')}) SELECT guid, cell FROM q LEFT JOIN h USING (guid)""")
+@query("WITH " + CELLS.format(16) + f""", q AS (SELECT o_orderkey AS guid, o_orderkey AS x, o_custkey AS y, 5 AS z FROM orders), t AS (SELECT guid, d || ':' || {KEY.format('d')} AS cell FROM q, range(1, 64) r(d)),
+lv AS (SELECT cell FROM cells GROUP BY cell), h AS (SELECT t.guid, max(t.cell) AS cell FROM t JOIN lv ON lv.cell = t.cell GROUP BY t.guid) SELECT q.guid, h.cell FROM q LEFT JOIN h ON h.guid = q.guid""")
 def resolve_leaf(spark, d):
     q = table(spark, d, "orders").select(F.col("o_orderkey").alias("guid"), g.point(F.col("o_orderkey"), F.col("o_custkey"), 5).alias("pos"))
     return spatial.resolve_leaf(q, spatial.assign_cells(points(spark, d)))

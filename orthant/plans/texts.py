@@ -97,8 +97,8 @@ def roles_and_names(spark, d):
     return names(spark, d).select("doc_id", t.role(name).alias("role"), t.safe_name(name).alias("safe"), t.prompt_file_name(F.col("doc_id") % 100, name).alias("file_name"), t.lora_tag(name, F.lit(0.8)).alias("tag"))
 
 
-@query("""WITH m AS (SELECT doc_id, regexp_extract_all(text, '\\b(Apache|Creative|Public|License|The|Les|Der)\\b') AS found FROM documents),
-p AS (SELECT doc_id, unnest(found) AS noun, generate_subscripts(found, 1) AS i FROM m), f AS (SELECT doc_id, noun, min(i) AS i FROM p GROUP BY 1, 2)
+@query("""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\pL\\pM\\pN\\p{Pc}]+')) AS noun, generate_subscripts(regexp_split_to_array(text, '[^\\pL\\pM\\pN\\p{Pc}]+'), 1) AS i FROM documents),
+f AS (SELECT doc_id, noun, min(i) AS i FROM p WHERE noun IN ('Apache', 'Creative', 'Public', 'License', 'The', 'Les', 'Der') GROUP BY 1, 2)
 SELECT doc_id, noun, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM f""")
 def proper_nouns(spark, d):
     found = t.proper_nouns(F.col("text"), ["Apache", "Creative", "Public", "License", "The", "Les", "Der"])
