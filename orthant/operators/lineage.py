@@ -58,13 +58,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def skew_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str | None = None) -> DataFrame:
     """Inner join of rows with keyed, which has one row for each key, and in `count` the key's number of rows.
 
     Keys with more than a `HOT_PART`-th of `total` rows (no fewer than all rows divided by a small constant) are joined by
     broadcast, and there are so few of them whatever the data; only the others are shuffled, so no task gets a hot key.
+    how: a join hint for these, where the plan shall be the same at every size.
     """
     hot = keyed.filter(F.col(count) * HOT_PART > total)
     rest = keyed.filter(F.col(count) * HOT_PART <= total)
+    rest = rest.hint(how) if how else rest
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
