@@ -224,7 +224,7 @@ def print_links(distinct: DataFrame, exact: int | None = None) -> DataFrame:
         exact = 1 + sum(n > most for most in FEW)
     keys = materialize(distinct.mapInArrow(_key_rows(exact), "key long, fp long"), "keys")
     sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    sized = skew_join(keys, sizes, ["key"], "n", keys.count()).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    sized = skew_join(keys, sizes, ["key"], "n", keys.count(), "merge").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     paired = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.least("own", "other").cast("long") * (1 << 24) + F.greatest("own", "other")
