@@ -91,7 +91,7 @@ def separation(spark, d):
 
 def _identity(zero: str, budget: str) -> str:
     ranked = f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(v) DESC, d) AS k FROM (SELECT vec_id AS id, i - 1 AS d, CAST(trunc(CAST(embedding[i] AS DOUBLE) * 1000000000) AS BIGINT) AS v FROM embeddings, range(1, 65) r(i) WHERE abs(embedding[i]) >= CAST({zero} AS FLOAT)) WHERE v <> 0)"
-    return f"SELECT CAST({zero} AS DOUBLE) AS zero, CAST({budget} AS INT) AS budget, (SELECT count(*) FROM embeddings) AS corpus, round(count(*) / (SELECT count(*) FROM embeddings), 9) AS mean_nnz, count(DISTINCT d) AS realized, 100.0 AS confidence, 100.0 AS least, 100.0 AS most FROM {ranked} WHERE k <= coalesce({budget}, 64)"
+    return f"SELECT CAST({zero} AS DOUBLE) AS zero, CAST({budget} AS INT) AS budget, (SELECT count(*) FROM embeddings) AS corpus, round(count(*) / (SELECT count(*) FROM embeddings), 9) AS mean_nnz, count(DISTINCT d) AS realized, CAST(100 AS DOUBLE) AS confidence, CAST(100 AS DOUBLE) AS least, CAST(100 AS DOUBLE) AS most FROM {ranked} WHERE k <= coalesce({budget}, 64)"
 
 
 @query(" UNION ALL ".join(_identity(z, b) for z, b in (("0.0", "NULL"), ("0.05", "NULL"), ("0.01", "8"))))

@@ -153,7 +153,7 @@ def suggested_preset(spark, d):
 
 
 @query("""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), f AS (SELECT doc_id, l FROM p WHERE len(l) >= 2)
-SELECT CAST(doc_id AS VARCHAR) AS file, CAST(doc_id % 90 AS INT) AS number, source AS title, 'part ' || lang AS series, trim(l[1], ' ' || chr(9) || chr(13)) AS scene, trim(l[2], ' ' || chr(9) || chr(13)) AS style, CASE WHEN doc_id % 2 = 0 THEN 'ink' END AS lora, CASE WHEN doc_id % 2 = 0 THEN 0.6 ELSE 0.8 END AS lora_weight FROM f JOIN documents USING (doc_id)""")
+SELECT CAST(doc_id AS VARCHAR) AS file, CAST(doc_id % 90 AS INT) AS number, source AS title, 'part ' || lang AS series, trim(l[1], ' ' || chr(9) || chr(13)) AS scene, trim(l[2], ' ' || chr(9) || chr(13)) AS style, CASE WHEN doc_id % 2 = 0 THEN 'ink' END AS lora, CAST(CASE WHEN doc_id % 2 = 0 THEN 0.6 ELSE 0.8 END AS DOUBLE) AS lora_weight FROM f JOIN documents USING (doc_id)""")
 def prompt_files(spark, d):
     docs = table(spark, d, "documents").withColumn("l", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).filter(F.size("l") >= 2)
     head = [F.lit("an opening line"), F.concat(F.lit("SERIES ONE: part "), "lang"), F.concat(F.lit("PROMPT "), (F.col("doc_id") % 90).cast("string"), F.lit(' — "'), "source", F.lit('"')), F.col("l")[0], F.lit(""), F.col("l")[1]]
