@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthant.functions import geometry as g
-from orthant.operators import index, lineage, motion, spatial
+from orthant.operators import index, lineage, motion, spatial, vectors
 
 VECTORS = "id long, e array<struct<d: int, v: bigint>>"
 
@@ -97,6 +97,33 @@ def test_skew_join_and_scratch(spark):
         df.count()
 
 
+def test_identity_report_compares_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(index, "ROWS", 40)
+    monkeypatch.setattr(index, "QUERIES", 7)
+    monkeypatch.setattr(vectors, "pair_distances", None)  # a join of all pairs
+    r = random.Random(7)
+    rows = [[r.uniform(-1, 1) for _ in range(4)] for _ in range(150)]
+    rows += [rows[3]] * 90  # copies: many more ties than k
+    whole = [[int(float(np.float32(x)) * 10**9) if abs(np.float32(x)) >= np.float32(0.05) else 0 for x in row] for row in rows]
+    asked = range(0, len(rows), 20)
+    want = {q: sorted((sum((a - b) ** 2 for a, b in zip(whole[q], x)), i) for i, x in enumerate(whole))[:5] for q in asked}
+    vecs = spark.createDataFrame(list(enumerate(rows)), "id long, vec array<float>")
+    e = vecs.select("id", vectors.quantize(F.col("vec"), zero=0.05).alias("e"))
+    got = {}
+    for x in index.true_knn(e, e.filter("id % 20 = 0"), 4, 5).collect():
+        got.setdefault(x.q, {})[x.rank] = (int(x.dist), x.id)
+    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == want
+    for row in vectors.identity_report(vecs, F.col("id") % 20 == 0, 5, 4, [(0.0, None), (0.05, 2)]).collect():
+        assert (row.corpus, row.realized, row.confidence, row.least, row.most) == (240, 4, 100, 100, 100)
+
+
+def test_exact_rows_do_not_wrap():
+    r = random.Random(8)
+    a, b = (np.array([[r.choice([-(2**62), 2**62 - 1, r.randint(-(2**62), 2**62 - 1), 0, -1]) for _ in range(70)] for _ in range(50)]) for _ in range(2))
+    for metric in index.METRICS:
+        assert index.exact_rows(a, b, metric) == [index.exact(x, y, metric) for x, y in zip(a, b)]
+
+
 def test_exact_kernels():
     a, b = np.array([2**61, -5, 3]), np.array([-(2**61), 7, 3])
     assert index.exact(a, b, "l2") == 2**124 + 144 and index.exact(a, b, "l1") == 2**62 + 12
