@@ -23,6 +23,26 @@ def test_point_files(spark, tmp_path):
     assert sorted((r.frame, r.x, r.z) for r in sweep) == [(0, 1, 3), (0, 4, 6), (1, 7, 9)]
 
 
+@pytest.mark.parametrize("change, framed", [(None, True), ("falls", False), ("alone", False)])
+def test_point_files_of_many_blocks(spark, tmp_path, change, framed):
+    first = list(range(400)) if change == "alone" else [i // 3 for i in range(400)]
+    if change == "falls":
+        first[200] = 0
+    (tmp_path / "f.csv").write_text("".join(f"{f}, {i}, 2, 3\n" for i, f in enumerate(first)))
+    (tmp_path / "g.csv").write_text("7 8 9\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        df = points.read_points(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "monotonically_increasing_id" not in plan and "SortMergeJoin" not in plan  # lines are neither numbered nor sorted
+        got = sorted((r.frame is not None, r.frame, r.x, r.y, r.z, r.size) for r in df.collect() if r.x != 7 or r.y != 8)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(True, f, i, 2, 3, None) if framed else (False, None, f, i, 2, 3) for i, f in enumerate(first)]
+    assert got == sorted(want) and df.rdd.getNumPartitions() > 1
+
+
 @pytest.mark.parametrize("text", ["1,2,3\n1,2\n", "1.5,2,3\n", "1,2,3,256,0,0\n"])
 def test_corrupt_point_files_raise(spark, tmp_path, text):
     (tmp_path / "bad.csv").write_text(text)
