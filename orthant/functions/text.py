@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +67,46 @@ def chunks(text: Column, size: int) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(F.aggregate(parts, start.cast(state), add, end))
 
 
+#: The same for Python's expressions.
+_BREAK = re.compile("\n[\f\n\r\t\x0b\x85" + "".join(chr(c) for c in range(sys.maxunicode) if unicodedata.category(chr(c))[0] == "Z") + "]*\n")
+_WORD = re.compile("[a-z0-9']+")
+_NO_KEYWORDS = frozenset(STOP_WORDS)
+
+
+def word_list(text: str) -> list[str]:
+    """words() of a Python string."""
+    return _WORD.findall(text.lower())
+
+
+def first_keywords(text: str, most: int = 200) -> set[str]:
+    """The words of keywords(), as a set; a text is read no further than to the last of them."""
+    found: set[str] = set()
+    for m in _WORD.finditer(text.lower()):
+        w = m[0]
+        if len(w) >= 3 and w not in found and w not in _NO_KEYWORDS:
+            found.add(w)
+            if len(found) >= most:
+                break
+    return found
+
+
+def chunk_list(text: str, size: int) -> list[str]:
+    """chunks() of a Python string."""
+    if len(text) <= size:
+        return [text]
+    done, part, length = [], [], 0  # the open chunk's paragraphs and its length
+    for p in _BREAK.split(text):
+        if length and length + len(p) > size:
+            done.append("\n\n".join(part))
+            part, length = [p], len(p)
+        elif length:
+            part.append(p)
+            length += 2 + len(p)
+        else:
+            part, length = [p], len(p)
+    return [*done, "\n\n".join(part)] if length else done
+
+
 def role(name: Column) -> Column:
     """Role of a document by its file name; the first rule that holds."""
     lower, out = F.lower(name), F.lit("reference")
@@ -126,14 +169,17 @@ def hash_dimension(hashes: np.ndarray, dims: int) -> np.ndarray:
 SLICE = 1 << 20
 
 
-def hash_embedding(df: DataFrame, dims: int = 768, scale: int = 1_000_000, text: str = "text") -> DataFrame:
+def hash_embedding(df: DataFrame, dims: int = 768, scale: int = 1_000_000, text: str = "text", dense: bool = False) -> DataFrame:
     """df with e, entries (d, v): scale times the number of tokens of each dimension; a text without tokens is (0, 1).
 
+    dense: with vec instead, the float array of v / scale with zeros.
+
     The hash runs over code units, which no built-in function yields; it is done for a batch of texts at a time.
     """
     if dims < 8 or scale <= 0:
         raise ValueError("at least 8 dimensions and a positive scale")
-    kept = [c for c in df.columns if c != "e"]
+    out = "vec" if dense else "e"
+    kept = [c for c in df.columns if c != out]
     rows = df.select(*(F.col(f"`{c}`") for c in kept))
     entry = pa.struct([("d", pa.int32()), ("v", pa.int64())])
 
@@ -142,6 +188,10 @@ def hash_embedding(df: DataFrame, dims: int = 768, scale: int = 1_000_000, text:
         found, n = np.unique(doc * dims + hash_dimension(hash_tokens(units, starts, ends), dims), return_counts=True)
         empty = np.flatnonzero(np.bincount(doc, minlength=len(texts)) == 0)
         place, value = np.concatenate([found, empty * dims]), np.concatenate([n * scale, np.ones(len(empty), np.int64)])
+        if dense:
+            flat = np.zeros(len(texts) * dims, np.float32)
+            flat[place] = value / scale
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(flat))
         order = np.argsort(place)
         place, value = place[order], value[order]
         cuts = np.searchsorted(place, np.arange(len(texts) + 1) * dims).astype(np.int32)
@@ -155,7 +205,7 @@ def hash_embedding(df: DataFrame, dims: int = 768, scale: int = 1_000_000, text:
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
             for a, b in zip(cuts, cuts[1:]):
                 if b > a:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, entries(texts[a:b])], [*kept, "e"])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, entries(texts[a:b])], [*kept, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(hashed, f"{schema}, e array<struct<d: int, v: bigint>>")
+    return rows.mapInArrow(hashed, f"{schema}, vec array<float>" if dense else f"{schema}, e array<struct<d: int, v: bigint>>")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,14 +25,35 @@ SIGNAL_TERMS = (
 def relevance(docs: DataFrame, query: str, k: int = 3, size: int = 300) -> DataFrame:
     """doc, chunk_no, chunk (trimmed), score of the k best chunks: chunk overlap plus 0.3 of the document's; both must be above 0.
 
-    The document's keywords are found once, before the filter; ties go by document and place.
+    Each text is read once, its words only until the keywords are full. A batch of documents yields its best k chunks
+    and those that come within rounding of them; ties go by document and place.
     """
-    q = F.array(*map(F.lit, plain_words(query)))
-    marked = docs.select("doc", "text", t.overlap(q, t.keywords(F.col("text"))).alias("of_doc")).filter("of_doc > 0")
-    each = marked.select("doc", "of_doc", F.posexplode(t.chunks(F.col("text"), size)).alias("chunk_no", "chunk"))
-    own = each.withColumn("own", t.overlap(q, t.words(F.col("chunk")))).filter("own > 0")
-    score = F.round(F.col("own") + 0.3 * F.col("of_doc"), 9)
-    return own.select("doc", "chunk_no", F.trim("chunk", F.lit(" \t\n\r\x0b\f")).alias("chunk"), score.alias("score")).orderBy(F.desc("score"), "doc", "chunk_no").limit(k)
+    asked = plain_words(query)
+    n, kind = len(asked), docs.schema["doc"].dataType.simpleString()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, value in enumerate(batch.column("text")):
+                text = value.as_py() or ""
+                if of_doc := hits(t.first_keywords(text), asked):
+                    for no, chunk in enumerate(t.chunk_list(text, size)):
+                        if own := hits(set(t.word_list(chunk)), asked):
+                            found.append((own / n + 0.3 * (of_doc / n), i, no, chunk))
+            if len(found) > k > 0:
+                least = heapq.nlargest(k, (f[0] for f in found))[-1] - 2e-9
+                found = [f for f in found if f[0] >= least]
+            score, row, no, chunk = zip(*found) if found else ((),) * 4
+            columns = [batch.column("doc").take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(chunk, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "chunk_no", "chunk", "score"])
+
+    best = docs.select("doc", "text").mapInArrow(scored, f"doc {kind}, chunk_no int, chunk string, score double")
+    return best.select("doc", "chunk_no", F.trim("chunk", F.lit(" \t\n\r\x0b\f")).alias("chunk"), F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc", "chunk_no").limit(k)
+
+
+def hits(found: set[str], asked: list[str]) -> int:
+    """How many of the words asked for were found; repeated ones count each time."""
+    return sum(w in found for w in asked)
 
 
 def plain_words(text: str) -> list[str]:

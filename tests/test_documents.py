@@ -1,6 +1,7 @@
 """Texts, names, the document store and the completion service, with worked values."""
 
 import json
+import random
 import re
 import threading
 import urllib.request
@@ -177,3 +178,19 @@ def test_completion_service():
     assert [x["response"] for x in lines] == ["x", "y", "z", ""] and [x["done"] for x in lines] == [False] * 3 + [True]
     assert ask("/none")[0] == 404 and ask("/api/generate", {"prompt": "fail", "stream": False})[0] == 500
     service.shutdown()
+
+
+def test_python_words_and_chunks_equal_the_columns(spark, monkeypatch):
+    r = random.Random(11)
+    bits = ["The", "queue", "İstanbul", "\u212aelvin", "it's", "ab", "x" * 30, "\n\n", "\n \u00a0\u2028\n", "\n", "\x85", "\n\u200b\n", ". ", " ", "Σίς", "über", "1st", "and"]
+    texts = ["".join(r.choice(bits) for _ in range(r.choice([0, 1, 5, 60, 900]))) for _ in range(150)] + [" ".join(f"w{i}" for i in range(300)), "\n\n", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("text", t.words(F.col("text")).alias("words"), t.keywords(F.col("text")).alias("keywords"), t.chunks(F.col("text"), 40).alias("chunks")).collect()
+    for row in rows:
+        assert (t.word_list(row.text), t.first_keywords(row.text), t.chunk_list(row.text, 40)) == (row.words, set(row.keywords), row.chunks)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").repartition(3)
+    of_doc, own = (t.overlap(F.array(*map(F.lit, ["queue", "and", "kelvin"])), c) for c in (t.keywords(F.col("text")), t.words(F.col("chunk"))))
+    each = docs.select("doc", of_doc.alias("of_doc"), F.posexplode(t.chunks(F.col("text"), 40)).alias("chunk_no", "chunk")).withColumn("own", own).filter("own > 0 AND of_doc > 0")
+    want = each.select("doc", "chunk_no", F.round(F.col("own") + 0.3 * F.col("of_doc"), 9).alias("score")).orderBy(F.desc("score"), "doc", "chunk_no").limit(25).collect()
+    monkeypatch.setattr(t, "keywords", None)  # a text is read once, in one pass
+    got = documents.relevance(docs, "queue and kelvin", 25, size=40).select("doc", "chunk_no", "score").collect()
+    assert len(want) == 25 and got == want
