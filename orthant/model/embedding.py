@@ -27,8 +27,7 @@ class HashSource:
         self.dims, self.scale, self.name = dims, scale, f"direct-hash-{dims}d"
 
     def embed(self, df: DataFrame, text: str = "text") -> DataFrame:
-        hashed = t.hash_embedding(df, self.dims, self.scale, text)
-        return hashed.withColumn("vec", vectors.dequantize(F.col("e"), self.dims, self.scale)).drop("e")
+        return t.hash_embedding(df, self.dims, self.scale, text, dense=True)
 
 
 class ServiceSource:
@@ -56,8 +55,9 @@ class ModelSource:
 
 
 def build_index(corpus: DataFrame, source: EmbeddingSource, zero: float = 0.01, budget: int | None = None, cells: int = 64) -> index.Index:
-    """Embed the texts of a corpus (id, text), quantise the vectors and index them."""
-    return index.build(embedded(corpus, source, zero, budget), source.dims, cells)
+    """Embed the texts of a corpus (id, text), quantise the vectors and index them. Texts are embedded once, and those of the pivots once more."""
+    sample = corpus.select("id", "text").orderBy(F.xxhash64("id"), "id").limit(cells)
+    return index.build(embedded(corpus, source, zero, budget), source.dims, cells, embedded(sample, source, zero, budget))
 
 
 def embedded(texts: DataFrame, source: EmbeddingSource, zero: float = 0.01, budget: int | None = None) -> DataFrame:

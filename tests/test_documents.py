@@ -194,3 +194,25 @@ def test_python_words_and_chunks_equal_the_columns(spark, monkeypatch):
     monkeypatch.setattr(t, "keywords", None)  # a text is read once, in one pass
     got = documents.relevance(docs, "queue and kelvin", 25, size=40).select("doc", "chunk_no", "score").collect()
     assert len(want) == 25 and got == want
+
+
+def test_hash_source_embeds_texts_once(spark):
+    texts = ["", None, "one two one", "a b c d e f g h", "über, über"]
+    rows = [(i, texts[i % 5]) for i in range(300)]
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(embedding.HashSource):
+        def embed(self, df, text="text"):
+            def counted(batches):
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return super().embed(df, text).mapInArrow(counted, "id long, text string, vec array<float>")
+
+    df = spark.createDataFrame(rows, "id long, text string")
+    built = embedding.build_index(df, Counting(64), cells=8)
+    assert built.counts.sum() == 300 and seen.value <= 308
+    sparse = t.hash_embedding(df, 64).select("id", vectors.dequantize(F.col("e"), 64, 1_000_000).alias("want"))
+    both = embedding.HashSource(64).embed(df).join(sparse, "id").collect()
+    assert len(both) == 300 and all(r.vec == r.want for r in both)
